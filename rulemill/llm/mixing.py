@@ -12,11 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulemill.functions.subset_sum import nearest_subset
 from rulemill.session import cut
 from rulemill.llm.tokenizers import DEFAULT_VOCABULARY, count_tokens
 
-#: Bits of the knapsack program; a larger rest is first filled greedily down to this size.
-KNAPSACK_SPAN = 1 << 17
 #: Each (source, length) is split into so many hashed cells, so that copies of one text share no task.
 SALTS = 16
 SEED = 42
@@ -28,58 +27,6 @@ def clean_source(col):
     return F.when(name.isNull() | (name == ""), F.lit("unknown")).otherwise(name)
 
 
-def fill_budget(lengths: list[int], counts: list[int], budget: int) -> dict[int, int]:
-    """How many texts of each length to take so that their sum is as close below ``budget`` as can be.
-
-    Whole multiplicities of each length are laid out largest first down to a rest of
-    ``KNAPSACK_SPAN`` tokens; the rest is solved exactly by reachable-sum bitsets, with each
-    count split into powers of two.
-    """
-    left = budget
-    taken = dict.fromkeys(lengths, 0)
-    order = sorted((n, c) for n, c in zip(lengths, counts, strict=True) if n > 0 and c > 0)
-    spare = dict(order)
-    total = sum(n * c for n, c in order)
-    if total <= budget:
-        return dict(order)
-    for n, c in reversed(order):  # a proportional part of every length keeps the mix of lengths
-        if left <= KNAPSACK_SPAN:
-            break
-        k = min(c * max(0, budget - KNAPSACK_SPAN) // total, left // n)
-        taken[n] += k
-        spare[n] -= k
-        left -= k * n
-    for n, _ in reversed(order):
-        if left <= KNAPSACK_SPAN:
-            break
-        k = min(spare[n], max(0, left - KNAPSACK_SPAN) // n)
-        taken[n] += k
-        spare[n] -= k
-        left -= k * n
-    if left <= 0:
-        return taken
-    mask = (1 << (left + 1)) - 1
-    reach, steps = 1, []
-    for n, _ in order:
-        c, part = min(spare[n], left // n), 1
-        while c > 0:
-            k = min(part, c)
-            new = (reach | (reach << (n * k))) & mask
-            if new != reach:
-                steps.append((n, k, reach))
-                reach = new
-            c -= k
-            part *= 2
-        if reach >> left & 1:
-            break
-    goal = reach.bit_length() - 1
-    for n, k, before in reversed(steps):
-        if not before >> goal & 1:
-            taken[n] += k
-            goal -= n * k
-    return taken
-
-
 def _plan(frame: pd.DataFrame) -> pd.DataFrame:
     """One source: histogram rows to (source, n_tokens, passes, extra)."""
     budget, total = int(frame["budget"].iloc[0]), int(frame["total"].iloc[0])
@@ -90,7 +37,7 @@ def _plan(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values(["n_tokens", "salt"], ignore_index=True)
     by_length = frame.groupby("n_tokens")["n_texts"]
     sizes = by_length.sum()
-    extra = fill_budget(sizes.index.tolist(), sizes.tolist(), rest)
+    extra = nearest_subset(sizes.index.tolist(), sizes.tolist(), rest)
     before = by_length.cumsum() - frame["n_texts"]
     want = frame["n_tokens"].map(lambda n: extra.get(int(n), 0)) - before
     return pd.DataFrame({"clean_source": frame["clean_source"], "n_tokens": frame["n_tokens"], "salt": frame["salt"], "passes": passes, "extra": want.clip(lower=0, upper=frame["n_texts"])})

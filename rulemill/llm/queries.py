@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rulemill.llm.leakage import leaks, p2_found
 from rulemill.llm.mixing import mix_report, mix_sources
+from rulemill.llm.pairs import p1_found
 from rulemill.llm.sentences import split_sentences
 from rulemill.llm.tokenizers import encode_corpus
 from rulemill.session import table
@@ -33,7 +34,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_leaks": p2_leaks, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_leaks": p2_leaks, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
