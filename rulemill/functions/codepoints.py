@@ -84,8 +84,9 @@ def _powers(bits: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64, and those of its inverse."""
     n = 1 << bits
     with np.errstate(over="ignore"):
-        up = np.multiply.accumulate(np.concatenate([[1], np.full(n - 1, base)]).astype(np.uint64))
-        down = np.multiply.accumulate(np.concatenate([[1], np.full(n - 1, pow(base, -1, 1 << 64))]).astype(np.uint64))
+        up, down = (np.full(n, b, dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+        up[0] = down[0] = 1
+        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
     return up, down
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from rulemill.operators.splits import p4_found, p4_shares, p4_splits
+from rulemill.operators.splitting import p5_found, p5_pieces
+
 
 def queries() -> dict:
-    return {}
+    return {"p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p5_found": p5_found, "p5_pieces": p5_pieces}
 
 
 def oracle_sql() -> dict[str, str]:

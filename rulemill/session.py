@@ -49,8 +49,19 @@ def semi_join_sized(big: DataFrame, keys: DataFrame, on: str, limit: int = BROAD
     return big.join(F.broadcast(keys) if few else keys.hint("shuffle_hash"), on, "left_semi")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers wherever they run; once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        _SHIPPED.add(app)
+        spark.sparkContext.addPyFile(package_zip(os.path.join(tempfile.mkdtemp(prefix="rulemill-"), "rulemill.zip")))
+
+
 def package_zip(path: str) -> str:
-    """Write the package as a zip for ``spark.sparkContext.addPyFile`` on clusters without it installed."""
+    """Write the package's sources as a zip file."""
     root = os.path.dirname(os.path.abspath(__file__))
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(root):
