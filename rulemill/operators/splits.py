@@ -83,7 +83,7 @@ def assign_splits(questions: DataFrame, seed: int = 42) -> DataFrame:
     order = F.xxhash64(F.col("component"), F.lit(seed))
     sizes = cut(groups.groupBy("component").agg(F.count("*").alias("size")).withColumn("salt", F.pmod(order, F.lit(SALTS)).cast("int")))
     cells = sizes.groupBy("size", "salt").agg(F.count("*").alias("n"))
-    plan = cells.groupBy(F.lit(1)).applyInPandas(_choose, "size bigint, salt int, test bigint, val bigint")
+    plan = cells.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_choose, "size bigint, salt int, test bigint, val bigint")
     place = F.row_number().over(Window.partitionBy("size", "salt").orderBy(order, "component"))
     split = F.when(F.col("place") <= F.col("test"), "test").when(F.col("place") <= F.col("test") + F.col("val"), "val").otherwise("train")
     chosen = sizes.withColumn("place", place).join(plan, ["size", "salt"]).select("component", split.alias("split"))
