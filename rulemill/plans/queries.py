@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from rulemill.operators.neardup import p6_found, p6_groups
+from rulemill.operators.overlap import p3_found, p3_report
 from rulemill.operators.splits import p4_found, p4_shares, p4_splits
 from rulemill.operators.splitting import p5_found, p5_pieces
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups}
+    return {"p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_splits": p4_splits, "p4_shares": p4_shares, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_groups": p6_groups}
 
 
 def oracle_sql() -> dict[str, str]:
