@@ -16,7 +16,8 @@ def clause_number(clause: Column) -> Column:
 
     Letters of an appendix number stay, in lower case; null and values without digits give null.
     """
-    low = F.lower(F.translate(clause, " ０１２３４５６７８９．", " 0123456789."))
+    # digits of other scripts and the full stop of full width, then their plain forms
+    low = F.lower(F.translate(clause, "\u00a0０１２３４５６７８９．٠١٢٣٤٥٦٧٨٩०१२३४५६७८९", " 0123456789.01234567890123456789"))
     core = F.regexp_extract(low, r"((?<![a-z])[a-z]\s*[.\-]\s*)?\d+(\s*[.\-:/,·]\s*\d+)*", 0)
     dotted = F.regexp_replace(F.regexp_replace(core, r"\s+", ""), r"[\-:/,·]", ".")
     plain = F.regexp_replace(dotted, r"(^|\.)0+(?=\d)", "$1")
