@@ -33,7 +33,7 @@ def chunks(s: SparkSession, d: str) -> DataFrame:
 def pages(s: SparkSession, d: str) -> DataFrame:
     """Passages stand for pages: a document's chunks in the order of page, clause and index."""
     c = chunks(s, d)
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_start", "law_no", "chunk_id"))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_start", "chunk_id"))
     return c.select("doc_id", n.alias("page"), passage(F.col("text")).alias("text"))
 
 
@@ -237,7 +237,7 @@ def dedupe_longest(s: SparkSession, d: str) -> DataFrame:
 def segment_clauses(s: SparkSession, d: str) -> DataFrame:
     """Rulebooks rebuilt as pages of headed text, and segmented again."""
     c = chunks(s, d)
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_start", "law_no", "chunk_id"))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_start", "chunk_id"))
     text = F.concat(F.concat_ws("\n", F.concat_ws(" ", F.lit("LAW"), "law_no", F.upper("clause_title")), F.concat_ws(" ", "clause", "clause_title")), F.lit("\n"), passage(F.col("text")))
     return segment.segment_documents(c.select("doc_id", n.alias("page"), text.alias("text")))
 
