@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulemill.session import BROADCAST_ROWS
+from rulemill.session import cut
 
 RETRIEVE_K, CONTEXT_K, TOPUP_K = 20, 5, 3
 MAX_VARIANTS_PER_TITLE = 2
@@ -17,17 +19,14 @@ BLEND_ALPHA = 0.85
 RRF_K = 60
 #: Okapi parameters.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Questions scored lexically in one pass, and cells of the term matrix of one step.
+QUESTION_BLOCK, CELLS = 1_024, 4_000_000
 #: Query vectors scored against the corpus in one pass; more queries take further passes.
 QUERY_BLOCK = 4_096
 #: Scores are rounded before ranking, as sums of doubles differ by the order of their parts.
 DIGITS = 6
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else unchanged."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def tokens(text: Column) -> Column:
     """Runs of ASCII letters and digits, lower case; null gives null."""
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
@@ -51,43 +50,82 @@ def term_statistics(docs: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+class Bm25Block:
+    """Scores Arrow batches of tokenised passages against a block of questions: term frequencies times a weight matrix.
+
+    Every partition keeps the best k of each question, so nothing but those is shuffled.
+    """
+
+    def __init__(self, shared, k: int):
+        self.shared, self.k = shared, k
+
+    def __call__(self, batches):
+        names, vocabulary, weights, allowed, mean = self.shared.value
+        known = pa.array(vocabulary, pa.string())
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, dtype=object))] * len(names)
+        step = max(1, CELLS // max(1, len(vocabulary)))
+        for whole in batches:
+            for a in range(0, whole.num_rows, step):
+                batch = whole.slice(a, step)
+                n = batch.num_rows
+                lists = batch.column(2)
+                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                code = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(n), lengths)[code >= 0]
+                tf = np.bincount(row * len(vocabulary) + code[code >= 0], minlength=n * len(vocabulary)).reshape(n, len(vocabulary)).astype(np.float64)
+                norm = K1 * (1 - B + B * lengths / mean) if mean else np.full(n, K1)
+                scores = np.round((tf * (K1 + 1) / (tf + norm[:, None])) @ weights, DIGITS)
+                ids = batch.column(0).to_numpy(zero_copy_only=False)
+                own = batch.column(1).to_numpy(zero_copy_only=False)
+                may = {c: own == c for c in {c for x in allowed if x for c in x}}
+                for j, only in enumerate(allowed):
+                    ok = np.logical_or.reduce([may[c] for c in only]) if only else np.ones(n, dtype=bool)
+                    if len(best[j][0]) == self.k:
+                        ok &= scores[:, j] >= best[j][0][-1]
+                    if ok.any():
+                        s, x = np.concatenate([best[j][0], scores[ok, j]]), np.concatenate([best[j][1], ids[ok]])
+                        order = np.lexsort((x.astype(str), -s))[: self.k]
+                        best[j] = s[order], x[order]
+        out = [(names[j], x, s) for j, (ss, xs) in enumerate(best) for s, x in zip(ss.tolist(), xs.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["qid", "chunk_id", "score"])
+
+
 def bm25(chunks: DataFrame, questions: DataFrame, k: int = RETRIEVE_K) -> DataFrame:
     """``qid, rank, chunk_id, score``: the k best active passages of each question.
 
     ``chunks`` has chunk_id, competition, status, text; ``questions`` has qid, question and
     allowed (array or null). Statistics come from the unfiltered corpus, the filter from the
-    question, before the cut to k. Repeated question tokens count each time. Questions with fewer
-    than k matches are filled up with passages of score 0, least chunk_id first; ties go by chunk_id.
-    Postings are made for the questions' tokens only: those join the exploded passages before any
-    shuffle where they are few enough to be broadcast.
+    question, before the cut to k. Repeated question tokens count each time. Passages of score 0
+    fill up to k; ties go by chunk_id. Null questions and texts have no tokens. The questions are a
+    stated query set: each block of them is broadcast and scored against all passages in one scan.
     """
-    asked = questions.select("qid", "allowed", F.explode(tokens(F.col("question"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"), F.first("allowed").alias("allowed"))
+    spark = chunks.sparkSession
+    questions = questions.where("qid is not null").select("qid", F.coalesce(tokens(F.col("question")), F.array().cast("array<string>")).alias("toks"), "allowed")
     stats = term_statistics(chunks.select("text"))
-    vocabulary = small(asked.select("token").distinct())
-    sizes = chunks.select("chunk_id", "competition", "status", tokens(F.col("text")).alias("toks"))
-    mean = sizes.agg(F.avg(F.size("toks")).alias("mean_length"))
-    active = sizes.where("status = 'active'").select("chunk_id", "competition", F.size("toks").alias("length"), F.explode("toks").alias("token"))
-    postings = active.join(vocabulary, "token").groupBy("token", "chunk_id", "competition", "length").agg(F.count("*").alias("tf"))
-    weighted = postings.join(stats.select("token", "idf"), "token").crossJoin(F.broadcast(mean))  # one row
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))
-    weighted = weighted.select("token", "chunk_id", "competition", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("weight"))
-    hits = weighted.join(small(asked), "token").where(F.col("allowed").isNull() | (F.size("allowed") == 0) | F.array_contains("allowed", F.col("competition")))
-    scored = hits.groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("qtf")), DIGITS).alias("score"))
+    passes = max(1, -(-questions.count() // QUESTION_BLOCK))
+    if passes > 1:
+        stats = cut(stats)
+    mean = chunks.agg(F.avg(F.coalesce(F.size(tokens(F.col("text"))), F.lit(0)))).first()[0] or 0.0
+    held = chunks.where("status = 'active' and chunk_id is not null").select("chunk_id", "competition", tokens(F.col("text")).alias("toks"))
+    out = None
+    for p in range(passes):
+        part = questions if passes == 1 else questions.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p)
+        rows = part.orderBy("qid").collect()  # about QUESTION_BLOCK rows
+        vocabulary = sorted({t for r in rows for t in r[1]})
+        needed = spark.createDataFrame([(t,) for t in vocabulary], "token string")
+        idf = {r[0]: r[1] for r in stats.join(F.broadcast(needed), "token").select("token", "idf").collect()}  # tokens of the block
+        vocabulary = [t for t in vocabulary if t in idf]
+        at = {t: i for i, t in enumerate(vocabulary)}
+        weights = np.zeros((len(vocabulary), len(rows)))
+        for j, r in enumerate(rows):
+            for t in r[1]:
+                if t in at:
+                    weights[at[t], j] += idf[t]
+        block = [r[0] for r in rows], vocabulary, weights, [r[2] for r in rows], mean
+        found = held.mapInArrow(Bm25Block(spark.sparkContext.broadcast(block), k), "qid string, chunk_id string, score double")
+        out = found if out is None else out.unionByName(found)
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-    top = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).drop("place")
-    filled = _fill(chunks, questions, top, k)
-    return top.unionByName(filled).withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
-
-
-def _fill(chunks: DataFrame, questions: DataFrame, top: DataFrame, k: int) -> DataFrame:
-    """Passages of score 0 for questions with fewer than k hits: of the first 2k allowed ones those not hit."""
-    counts = top.groupBy("qid").agg(F.count("*").alias("n"))
-    short = questions.join(counts, "qid", "left").where(F.coalesce("n", F.lit(0)) < k).select("qid", F.coalesce("allowed", F.array().cast("array<string>")).alias("allowed"))
-    active = chunks.where("status = 'active'").select("chunk_id", "competition")
-    first = Window.partitionBy("competition").orderBy("chunk_id")
-    heads = active.withColumn("n", F.row_number().over(first)).where(F.col("n") <= 2 * k).drop("n")  # 2k per competition
-    pool = short.join(F.broadcast(heads), (F.size("allowed") == 0) | F.array_contains("allowed", F.col("competition"))).select("qid", "chunk_id")
-    return pool.join(top.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").select("qid", "chunk_id", F.lit(0.0).alias("score"))
+    return out.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
 
 
 class BlockTopK:
