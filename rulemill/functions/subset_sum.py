@@ -4,6 +4,8 @@ from __future__ import annotations
 
 #: Bits of one program; a larger goal is first filled proportionally down to this size.
 SPAN = 1 << 17
+#: Items of each size that the proportional part leaves for the exact one.
+RESERVE = 64
 
 
 def nearest_subset(sizes: list[int], counts: list[int], goal: int, may_exceed: bool = False, span: int = SPAN) -> dict[int, int]:
@@ -21,9 +23,9 @@ def nearest_subset(sizes: list[int], counts: list[int], goal: int, may_exceed: b
     taken, spare, left = dict.fromkeys((n for n, _ in order), 0), dict(order), max(0, goal)
     for exact in (False, True):
         for n, c in reversed(order):
-            if left <= span:
+            if left <= span * (1 + exact):  # the small sizes are kept for the exact part
                 break
-            k = max(0, min(spare[n], (left - span) // n if exact else c * (goal - span) // total))
+            k = max(0, min(spare[n], (left - span) // n if exact else min(c - RESERVE, c * (goal - span) // total)))
             taken[n] += k
             spare[n] -= k
             left -= k * n

@@ -99,7 +99,7 @@ def split_report(assigned: DataFrame) -> DataFrame:
 
 def tied_documents(questions: DataFrame) -> DataFrame:
     """``doc_id_a, doc_id_b``, smaller first: all pairs of different documents in one component."""
-    labels = cut(connected_components(document_links(questions)))
+    labels = cut(connected_components(document_links(questions.where("qid is not null"))))
     a = labels.select(F.col("node").alias("doc_id_a"), "component")
     b = labels.select(F.col("node").alias("doc_id_b"), "component")
     return a.join(b, "component").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
