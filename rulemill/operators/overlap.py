@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rulemill.functions.fmindex import FmIndex
 from rulemill.functions.texts import clause_number
-from rulemill.session import shuffle_partitions, table
+from rulemill.session import cut, semi_join_sized, shuffle_partitions, table
 
 OVERLAP = 0.75
 #: Distinct evaluation and training sequences of one task; a hot bucket becomes a grid of tasks.
@@ -32,7 +32,7 @@ def records(questions: DataFrame) -> DataFrame:
     """``qid, split, source, side, key, words, cid``: what two records must agree on, the sorted words, and their class.
 
     Rows with a null field, without words or without a clause number, and rows of other splits are
-    left out; rows appended twice are one.
+    left out. Rows appended twice stay; they have one class and make one pair.
     """
     digits = F.array_join(F.array_sort(F.expr(r"regexp_extract_all(question, '\\p{Nd}+', 0)")), " ")
     words = F.array_sort(F.expr(r"regexp_extract_all(lower(question), '[\\p{L}\\p{N}]+', 0)"))
@@ -43,7 +43,7 @@ def records(questions: DataFrame) -> DataFrame:
         clause_number(F.col("clause")).alias("clause"), "competition", words.alias("words"),
     )
     rows = rows.where("qid is not null and side is not null and clause is not null and competition is not null and size(words) > 0")
-    return rows.select("qid", "split", "source", "side", "key", "words", F.xxhash64("key", F.array_join("words", " ")).alias("cid")).distinct()
+    return rows.select("qid", "split", "source", "side", "key", "words", F.xxhash64("key", F.array_join("words", " ")).alias("cid"))
 
 
 def _symbols(keys: pd.Series, words: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +169,11 @@ def overlapping_classes(rows: DataFrame, share: float = OVERLAP) -> DataFrame:
     """
     spark = rows.sparkSession
     buckets = max(1, shuffle_partitions(spark))
-    classes = rows.select("side", "key", "words", "cid").dropDuplicates(["side", "cid"]).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    # most keys are on one side only: their words are never shuffled
+    keyed = rows.withColumn("kh", F.xxhash64("key"))
+    sides = keyed.groupBy("kh").agg(F.max((F.col("side") == "train").cast("int")).alias("t"), F.max((F.col("side") == "eval").cast("int")).alias("e"))
+    keyed = semi_join_sized(keyed, cut(sides.where("t = 1 and e = 1").select("kh")), "kh")
+    classes = keyed.select("side", "key", "words", "cid").dropDuplicates(["side", "cid"]).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     counts = {(r[0], r[1]): r[2] for r in classes.groupBy("side", "bucket").count().collect()}  # two rows per bucket
     parts = {s: [max(1, math.ceil(counts.get((s, b), 0) / size)) for b in range(buckets)] for s, size in (("eval", EVAL_SHARD), ("train", TRAIN_SHARD))}
     n_eval, n_train = (F.element_at(F.array(*[F.lit(x) for x in parts[s]]), F.col("bucket").cast("int") + 1) for s in ("eval", "train"))
