@@ -161,6 +161,13 @@ def _common(ts, to, es, eo, train, seq) -> np.ndarray:
     return out
 
 
+def on_both_sides(rows: DataFrame) -> DataFrame:
+    """Records whose key occurs in train and in an evaluation split; most do not, and their words are never shuffled."""
+    keyed = rows.withColumn("kh", F.xxhash64("key"))
+    sides = keyed.groupBy("kh").agg(F.max((F.col("side") == "train").cast("int")).alias("t"), F.max((F.col("side") == "eval").cast("int")).alias("e"))
+    return cut(semi_join_sized(keyed, cut(sides.where("t = 1 and e = 1").select("kh")), "kh"))
+
+
 def overlapping_classes(rows: DataFrame, share: float = OVERLAP) -> DataFrame:
     """``train_cid, eval_cid, covered, common`` of all matching classes of records, equal ones included.
 
@@ -169,11 +176,7 @@ def overlapping_classes(rows: DataFrame, share: float = OVERLAP) -> DataFrame:
     """
     spark = rows.sparkSession
     buckets = max(1, shuffle_partitions(spark))
-    # most keys are on one side only: their words are never shuffled
-    keyed = rows.withColumn("kh", F.xxhash64("key"))
-    sides = keyed.groupBy("kh").agg(F.max((F.col("side") == "train").cast("int")).alias("t"), F.max((F.col("side") == "eval").cast("int")).alias("e"))
-    keyed = semi_join_sized(keyed, cut(sides.where("t = 1 and e = 1").select("kh")), "kh")
-    classes = keyed.select("side", "key", "words", "cid").dropDuplicates(["side", "cid"]).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    classes = rows.select("side", "key", "words", "cid").dropDuplicates(["side", "cid"]).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
     counts = {(r[0], r[1]): r[2] for r in classes.groupBy("side", "bucket").count().collect()}  # two rows per bucket
     parts = {s: [max(1, math.ceil(counts.get((s, b), 0) / size)) for b in range(buckets)] for s, size in (("eval", EVAL_SHARD), ("train", TRAIN_SHARD))}
     n_eval, n_train = (F.element_at(F.array(*[F.lit(x) for x in parts[s]]), F.col("bucket").cast("int") + 1) for s in ("eval", "train"))
@@ -198,7 +201,7 @@ def cross_split_pairs(questions: DataFrame, share: float = OVERLAP) -> DataFrame
     any order) at least ``share`` of the words of both. Null fields make no case; rows appended
     twice count once; an empty table gives no rows. Copies are expanded only at the end.
     """
-    rows = records(questions)
+    rows = on_both_sides(records(questions))
     pairs = overlapping_classes(rows, share)
     t = rows.where("side = 'train'").select(F.col("cid").alias("train_cid"), F.col("qid").alias("train_qid"), F.col("source").alias("train_source"))
     e = rows.where("side = 'eval'").select(F.col("cid").alias("eval_cid"), F.col("qid").alias("eval_qid"), F.col("source").alias("eval_source"), F.col("split").alias("eval_split"))
