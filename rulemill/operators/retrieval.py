@@ -145,7 +145,7 @@ class BlockTopK:
             for j in range(len(names)):
                 s, ids = scores[:, j], keys
                 if groups[j] is not None:
-                    ok = own == groups[j]
+                    ok = np.isin(own, groups[j])
                     s, ids = s[ok], ids[ok]
                 if j in best:
                     s, ids = np.concatenate([best[j][0], s]), np.concatenate([best[j][1], ids])
@@ -200,7 +200,7 @@ def _by_blocks(vectors: DataFrame, queries: DataFrame, make, schema: str) -> Dat
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = RETRIEVE_K) -> DataFrame:
     """``query, rank, key, score``: the k vectors of greatest dot product for each query, exactly.
 
-    ``vectors`` has key, vector, grp; ``queries`` has query, vector, grp (null: any group). Vectors are
+    ``vectors`` has key, vector, grp; ``queries`` has query, vector and grp, one group or an array (null: any). Vectors are
     expected to have length 1, so the dot product is the cosine. Queries are a stated set and are
     scored block by block: a block is broadcast, every partition keeps its best k of each query, and
     only those are shuffled. Null vectors and queries are left out; ties go by key.

@@ -18,6 +18,45 @@ def competition_label(competition: Column, gender: Column) -> Column:
     return F.when(label.isNotNull() & whose.isNotNull() & (competition != "ipl"), F.concat_ws(" ", whose, label)).otherwise(label)
 
 
+def question_prompts(chunks: DataFrame, size: int = 25, least: int = 2, most: int = 3) -> DataFrame:
+    """``doc_id, batch_no, chunk_ids, prompt``: numbered passages of each batch and what is asked of a provider."""
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id"))
+    rows = chunks.withColumn("at", n - 1).withColumn("batch_no", F.floor(F.col("at") / size)).withColumn("no", F.col("at") % size + 1)
+    label = F.coalesce(competition_label(F.col("competition"), F.col("gender")), F.lit("the laws"))
+    part = F.concat(F.lit("["), F.col("no").cast("string"), F.lit("] ("), label, F.lit(") "), F.col("text"))
+    parts = F.array_sort(F.collect_list(F.struct("no", "chunk_id", part.alias("part"))))  # size rows
+    head = F.lit(f"Write {least} to {most} questions that each numbered passage answers.\n\n")
+    return rows.groupBy("doc_id", "batch_no").agg(parts.alias("x")).select("doc_id", "batch_no", F.transform("x", lambda v: v["chunk_id"]).alias("chunk_ids"), F.concat(head, F.array_join(F.transform("x", lambda v: v["part"]), "\n\n")).alias("prompt"))
+
+
+def generate_questions(prompts: DataFrame, provider, tries: int = 5, wait: float = 2.0) -> DataFrame:
+    """``qid, question, pos_chunk_id`` from a provider of ``prompt -> {passage number: [questions]}``.
+
+    A failing batch is tried again with doubled waits and then gives nothing; a passage that the
+    answer leaves out has no questions. The k-th question of a passage is ``syn_{chunk}_{k}``.
+    """
+    import time
+
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for ids, prompt in zip(pdf["chunk_ids"], pdf["prompt"], strict=True):
+                said = {}
+                for t in range(tries):
+                    try:
+                        said = provider(prompt)
+                        break
+                    except Exception:  # providers raise their own kinds
+                        if t + 1 < tries:
+                            time.sleep(wait * 2**t)
+                rows += [(f"syn_{c}_{k}", q, c) for no, c in enumerate(ids, 1) for k, q in enumerate(said.get(no, []), 1)]
+            yield pd.DataFrame(rows, columns=["qid", "question", "pos_chunk_id"])
+
+    return prompts.select("chunk_ids", "prompt").mapInPandas(run, "qid string, question string, pos_chunk_id string")
+
+
 def stratified_subset(chunks: DataFrame, size: int = SUBSET_SIZE, seed: int = SUBSET_SEED) -> DataFrame:
     """``chunk_id, doc_id``: round robin over documents, each in a seeded hash order, up to ``size`` rows in all."""
     order = F.md5(F.concat(F.lit(f"{seed}|"), "chunk_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulemill.functions.texts import passage
-from rulemill.operators import answering, chunking, discovery, evaluation, indexing, planner, retrieval, segment, textprep, training
+from rulemill.operators import answering, chunking, discovery, evaluation, indexing, pipeline, planner, retrieval, segment, textprep, training
 from rulemill.operators.neardup import p6_found, p6_groups
 from rulemill.operators.overlap import p3_found, p3_report
 from rulemill.operators.splits import p4_found, p4_shares, p4_splits
@@ -199,6 +199,14 @@ def eval_failures(s: SparkSession, d: str) -> DataFrame:
     return evaluation.failures(eval_hit_rank(s, d))
 
 
+def ask_pipeline(s: SparkSession, d: str) -> DataFrame:
+    return pipeline.ask(golden(s, d).select("qid", "question", "override"), chunks(s, d), last_of_each(registry(s, d)))
+
+
+def eval_configs(s: SparkSession, d: str) -> DataFrame:
+    return pipeline.evaluate(golden(s, d), chunks(s, d))
+
+
 def latency_percentiles(s: SparkSession, d: str) -> DataFrame:
     return evaluation.latency_statistics(table(s, d, "events"), "value", "event_type")
 
@@ -387,7 +395,7 @@ def dataset_info(s: SparkSession, d: str) -> DataFrame:
 
 NAMES = (
     bm25_topk, bm25_topk_filtered, corpus_term_stats, dense_topk, dense_topk_filtered, hashed_embedding, hashed_dense_topk, rrf_fusion, rerank_blend, comparison_topup, diverse_context,
-    context_format, citation_matches, citation_validation, answer_metrics, answer_cache_key, extractive_answers, eval_hit_rank, eval_metrics_by_type, eval_failures, latency_percentiles,
+    context_format, citation_matches, citation_validation, answer_metrics, answer_cache_key, extractive_answers, eval_hit_rank, eval_metrics_by_type, eval_failures, eval_configs, ask_pipeline, latency_percentiles,
     repeated_lines, cleaned_pages, normalized_lines, heading_lines, monotone_headings, dedupe_longest, segment_clauses, chunk_build, chunk_headers, chunk_stats, chunk_batches, chunk_metadata,
     index_sync_actions, index_version, supersede, status_changes, merge_sources, manifest_changes, affected_documents, reingest_exclude, resume_remaining,
     query_plan_rules, title_metadata, keyword_filter, leakage_guard, hard_negatives, stratified_subset, competition_labels, group_split, training_rows, evaluator_groups, dataset_info,

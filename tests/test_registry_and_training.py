@@ -112,3 +112,17 @@ def test_stream(spark, tmp_path):
     start_sync(stream_chunks(spark, src, CHUNKS), index, log, ck).awaitTermination()
     assert {(r.doc_id, r.content_hash) for r in io.read_chunks(spark, index).collect()} == {("e", "h"), ("d", "h2")}
     assert [r.action for r in spark.read.parquet(log).orderBy("batch").collect()] == ["embed", "embed"]
+
+
+def test_generated_questions(spark):
+    c = spark.createDataFrame([(f"d::{i}", "d", "icc_odi", "women", f"text {i}") for i in range(3)], "chunk_id string, doc_id string, competition string, gender string, text string")
+    prompts = training.question_prompts(c, 2)
+    assert prompts.count() == 2 and "[1] (women's ODIs) text 0" in prompts.orderBy("batch_no").first().prompt
+
+    def provider(prompt):
+        if "text 2" in prompt:
+            raise RuntimeError("down")
+        return {1: ["a?", "b?"]}
+
+    got = [tuple(r) for r in training.generate_questions(prompts, provider, 2, 0.0).orderBy("qid").collect()]
+    assert got == [("syn_d::0_1", "a?", "d::0"), ("syn_d::0_2", "b?", "d::0")]
