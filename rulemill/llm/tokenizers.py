@@ -24,7 +24,9 @@ from rulemill.functions.codepoints import blocks, class_table, codepoints, segme
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 NO_RANK = np.int32(2**31 - 1)
 #: Words kept in a worker's cache; a full cache is emptied, which costs time and changes nothing.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Characters encoded at once.
+BLOCK = 400_000
 #: Character classes of the pre-token pattern.
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
 #: Contractions that are pre-tokens of their own (fixed values of the public pattern).
@@ -254,7 +256,7 @@ class ByteBpe:
         """Flat ids of all texts, and n+1 offsets; null and empty texts have none."""
         flats, counts = [np.zeros(0, dtype=np.int32)], np.zeros(len(texts) + 1, dtype=np.int64)
         filled = pc.fill_null(texts, "")
-        for a, b in blocks(filled):
+        for a, b in blocks(filled, BLOCK):
             ids, per_text = self._encode_block(filled[a:b])
             flats.append(ids)
             counts[a + 1 : b + 1] = per_text
@@ -317,13 +319,15 @@ def _worker_bpe(shared) -> ByteBpe:
     key = shared.value.pairs.shift, len(shared.value.pairs.keys), int(shared.value.byte_ids.sum())
     if key not in _BPE:
         _BPE.clear()
-        _BPE[key] = ByteBpe(shared.value.byte_ids, shared.value.pairs)
+        _BPE[key] = ByteBpe(shared.value.byte_ids, shared.value.pairs, classes=shared.value.classes)
     return _BPE[key]
 
 
 def _encoded(df: DataFrame, keys: list[str], text: str, vocabulary: str, ids: bool) -> DataFrame:
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(ByteBpe.load(vocabulary))
+    bpe = ByteBpe.load(vocabulary)
+    bpe._classes()  # made once here, 1 MB, not in every worker
+    shared = spark.sparkContext.broadcast(bpe)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + (", ids array<int>" if ids else ", n_tokens bigint")
     return df.select(*[F.col(f"`{k}`") for k in keys], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(Encoder(shared, keys, "__text", ids), schema)
