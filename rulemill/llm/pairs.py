@@ -382,6 +382,9 @@ def train(sample: list[tuple[str | None, str | None]], seed: int = SEED) -> Pair
     pairs = [(q or "", p or "") for q, p in sample]
     if len(pairs) < FEW_PAIRS:
         pairs = pairs + plain_pairs(FEW_PAIRS, np.random.default_rng(seed))
+    checked = features(pa.array([q for q, _ in pairs], pa.string()), pa.array([p for _, p in pairs], pa.string())).ok
+    odd = checked[:, 0] | checked[:, 3] | checked[:, 4]  # nothing, only the question, or another language: not taken as sound
+    pairs = [x for x, o in zip(pairs, odd, strict=True) if not o] or pairs
     model = None
     for rounds in (FIRST_ROUNDS, ROUNDS):
         rng = np.random.default_rng(seed)
