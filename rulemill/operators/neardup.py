@@ -1,11 +1,11 @@
 """Near-duplicate passages with small edits (problem 6).
 
-Plan: (1) shingle frequencies over all texts, pre-aggregated in each task; (2) per text min-hash
-band keys and a sketch of byte-wide min-hashes, over its shingles that are not frequent; texts
-that keep too few are also keyed over all their shingles; (3) texts that share a band key meet in one
-task and are compared tile by tile with exclusive-or and bit counts, pairs of tiles whose shingle
-counts differ beyond the radius being skipped; (4) the surviving pairs are verified exactly on
-their texts. Equal texts are one class from the start.
+Plan: (1) per text min-hash band keys and a sketch of half-byte min-hashes, over all its shingles;
+(2) texts that share a band key meet in one task and are compared tile by tile with exclusive-or
+and bit counts, pairs of tiles whose shingle counts differ beyond the radius being skipped; (3) the
+surviving pairs are verified exactly on their texts. Equal texts are one class from the start.
+
+No shingle is left out as frequent: wording that many texts have may be all that two of them share.
 """
 
 from __future__ import annotations
@@ -23,16 +23,11 @@ from rulemill.operators.components import connected_components
 from rulemill.session import cut, semi_join_sized, shuffle_partitions, table
 
 SHINGLE, SIMILARITY, LEAST_WORDS = 3, 0.5, 40
-#: Shingles in more than this share of the texts say little and key no band.
-FREQUENT = 0.05
-#: Frequent shingles that are left out at most; more would only make more candidates.
-MOST_FREQUENT = 20_000
-#: Bands of min-hashes; texts of similarity s over kept shingles meet with 1 - (1 - s**ROWS)**BANDS.
+#: Bands of min-hashes; texts of similarity s meet with 1 - (1 - s**ROWS)**BANDS.
 BANDS, ROWS = 27, 3
-#: Texts with fewer kept shingles than FEW are also keyed over all shingles; below NONE only so.
-FEW, NONE = 24, 8
-#: Byte-wide min-hashes of the sketch; pairs that agree in fewer than AGREE are not similar.
-SKETCH, AGREE = 24, 4
+#: Half-byte min-hashes of the sketch, those of the bands first; pairs that agree in fewer than AGREE
+#: are not similar (a pair of similarity 0.5 does so with 7e-5).
+SKETCH, AGREE = 96, 33
 #: Rows of a tile, and rows of a band key above which it is spread over a grid of tasks.
 TILE, HOT = 512, 20_000
 #: Rows of band keys that one task compares, about; the number of tasks grows with the texts.
@@ -87,7 +82,7 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE):
 @lru_cache(maxsize=1)
 def _factors() -> np.ndarray:
     """A mask and an odd factor for each hash function."""
-    pairs = np.random.default_rng(SEED).integers(1, 2**63, size=(BANDS * ROWS + SKETCH, 2), dtype=np.uint64)
+    pairs = np.random.default_rng(SEED).integers(1, 2**63, size=(max(BANDS * ROWS, SKETCH), 2), dtype=np.uint64)
     pairs[:, 1] = pairs[:, 1] * np.uint64(2) + np.uint64(1)
     return pairs
 
@@ -103,55 +98,13 @@ def _minima(s: np.ndarray, offsets: np.ndarray, factors: np.ndarray) -> np.ndarr
     return out
 
 
-#: Stands for the number of texts among the shingle counts.
-TEXTS = -1
-
-
-class CountShingles:
-    """Per Arrow batch: shingle and number of distinct texts with it. Copies within a task count once."""
-
-    def __init__(self, least_words: int):
-        self.least_words = least_words
-
-    def __call__(self, batches):
-        seen: set[int] = set()
-        held: list[np.ndarray] = []
-        pending, eligible = 0, 0
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            fresh = []
-            for i, x in enumerate(ids):
-                if x not in seen:
-                    seen.add(x)
-                    fresh.append(i)
-            texts = batch.column(1).take(pa.array(fresh, pa.int64()))
-            for a, b in blocks(texts):
-                s, offsets, n_words = short_sets(texts[a:b])
-                on = np.repeat(n_words >= self.least_words, np.diff(offsets))
-                held.append(s[on])
-                pending += int(on.sum())
-                eligible += int((n_words >= self.least_words).sum())
-            if pending > 2_000_000:
-                yield self._rows(held)
-                held, pending = [], 0
-        if held:
-            yield self._rows(held)
-        yield pa.RecordBatch.from_arrays([pa.array([TEXTS], pa.int64()), pa.array([eligible], pa.int64())], names=["shingle", "n"])
-
-    @staticmethod
-    def _rows(held):
-        s, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
-
-
 class Sketches:
     """Per text: band keys, id, shingle count and sketch, one row per band (and grid cell of a hot key)."""
 
-    def __init__(self, frequent, hot, least_words: int, keys_only: bool = False):
-        self.frequent, self.hot, self.least_words, self.keys_only = frequent, hot, least_words, keys_only
+    def __init__(self, hot, least_words: int, keys_only: bool = False):
+        self.hot, self.least_words, self.keys_only = hot, least_words, keys_only
 
     def __call__(self, batches):
-        common = self.frequent.value
         hot = self.hot.value if self.hot is not None else {}
         seen: set[int] = set()
         for batch in batches:
@@ -164,29 +117,23 @@ class Sketches:
                     seen.add(x)
                 size = np.diff(offsets)
                 use = np.array(fresh, dtype=bool) & (n_words >= self.least_words) & (size > 0)
-                at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
-                rare = common[at] != s if len(common) else np.ones(len(s), dtype=bool)
-                owner = np.repeat(np.arange(len(size)), size)
-                kept = np.bincount(owner, weights=rare, minlength=len(size)).astype(np.int64)
-                for space, rows, mask in ((0, use & (kept >= NONE), rare), (1, use & (kept < FEW), np.ones(len(s), dtype=bool))):
-                    if rows.any():
-                        yield from self._emit(space, ids[a:b], rows, s, owner, mask, size, hot)
-
-    def _emit(self, space, ids, rows, s, owner, mask, size, hot):
-        on = mask & rows[owner]
+                if use.any():
+                    yield from self._emit(ids[a:b], use, s, size, hot)
+
+    def _emit(self, ids, rows, s, size, hot):
         who = np.flatnonzero(rows)
-        counts = np.bincount(owner[on], minlength=len(rows))[who]
-        offsets = np.concatenate([[0], np.cumsum(counts)])
-        low = _minima(s[on], offsets, _factors())
+        offsets = np.concatenate([[0], np.cumsum(size[who])])
+        low = _minima(s[np.repeat(rows, size)], offsets, _factors())
         bands = low[:, : BANDS * ROWS].reshape(len(who), BANDS, ROWS)
         key = np.zeros((len(who), BANDS), dtype=np.uint64)
         for r in range(ROWS):
             key = mix64(key + bands[:, :, r])
-        key = mix64(key + np.arange(BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(space)).view(np.int64)
+        key = mix64(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
         if self.keys_only:
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel())], names=["key"])
             return
-        sketch = np.ascontiguousarray((mix64(low[:, BANDS * ROWS :]) >> np.uint64(11)).astype(np.uint8)).view(np.int64)
+        half = (mix64(low[:, :SKETCH]) >> np.uint64(11)).astype(np.uint8) & np.uint8(15)
+        sketch = np.ascontiguousarray(half[:, ::2] | half[:, 1::2] << np.uint8(4)).view(np.int64)
         row = np.repeat(np.arange(len(who)), BANDS)
         key = key.ravel()
         cell, mine = np.zeros(len(key), dtype=np.int32), np.full(len(key), -1, dtype=np.int32)
@@ -203,18 +150,20 @@ class Sketches:
                 take = np.concatenate([np.flatnonzero(keep), grid[:, 0]])
                 row, key = row[take], key[take]
                 cell, mine = np.concatenate([cell[keep], grid[:, 1].astype(np.int32)]), np.concatenate([mine[keep], grid[:, 2].astype(np.int32)])
-        cols = [pa.array(key), pa.array(cell), pa.array(mine), pa.array(ids[who][row]), pa.array(size[who][row].astype(np.int32)), *(pa.array(sketch[row, i]) for i in range(SKETCH // 8))]
-        yield pa.RecordBatch.from_arrays(cols, names=["key", "cell", "mine", "id", "size", *(f"s{i}" for i in range(SKETCH // 8))])
+        cols = [pa.array(key), pa.array(cell), pa.array(mine), pa.array(ids[who][row]), pa.array(size[who][row].astype(np.int32)), *(pa.array(sketch[row, i]) for i in range(SKETCH // 16))]
+        yield pa.RecordBatch.from_arrays(cols, names=["key", "cell", "mine", "id", "size", *(f"s{i}" for i in range(SKETCH // 16))])
 
 
-LOW7, HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
+ONES = np.uint64(0x1111111111111111)
 
 
 def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal bytes of two arrays of sketches: exclusive-or, then a count of the bytes that are not zero."""
+    """Equal half-bytes of two arrays of sketches: exclusive-or, then a count of the half-bytes that are not zero."""
     x = a ^ b
-    differ = (((x & LOW7) + LOW7) | x) & HIGH
-    return SKETCH - np.bitwise_count(differ).sum(axis=-1, dtype=np.int64)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    x &= ONES
+    return SKETCH - np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
 
 class Tiles:
@@ -231,7 +180,7 @@ class Tiles:
         col = {n: t[n].to_numpy() for n in t.column_names}
         order = np.lexsort((col["id"], col["size"], col["cell"], col["key"]))
         key, cell, mine, ids, size = (col[n][order] for n in ("key", "cell", "mine", "id", "size"))
-        sketch = np.stack([col[f"s{i}"][order] for i in range(SKETCH // 8)], axis=1).view(np.uint64)
+        sketch = np.stack([col[f"s{i}"][order] for i in range(SKETCH // 16)], axis=1).view(np.uint64)
         begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
         length = np.diff(np.append(begin, len(key)))
         pairs: list[np.ndarray] = []
@@ -318,19 +267,13 @@ def similar_classes(items: DataFrame, similarity: float = SIMILARITY, least_word
     """
     spark = items.sparkSession
     texts = _classes(items.where("text is not null"))
-    counts = texts.mapInArrow(CountShingles(least_words), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
     eligible = texts.where(F.length("text") >= 2 * least_words - 1)
-    # at most (mean shingles of a text) / FREQUENT shingles reach the floor, however many texts there are
-    top = counts.orderBy(F.desc("n")).limit(MOST_FREQUENT).collect()
-    n_texts = max((r[1] for r in top if r[0] == TEXTS), default=0)
-    often = [r for r in top if r[0] != TEXTS and r[1] > max(2.0, FREQUENT * n_texts)]
-    common = np.sort(np.array([r[0] for r in often], dtype=np.int64).view(np.uint64))
-    frequent = spark.sparkContext.broadcast(common)
+    n_texts = eligible.count()
     sampled = _classes(items.where(F.pmod(F.xxhash64("key"), F.lit(HOT_SAMPLE)) == 0).where(F.length("text") >= 2 * least_words - 1))
-    often = sampled.mapInArrow(Sketches(frequent, None, least_words, True), "key bigint").groupBy("key").count().where(F.col("count") * HOT_SAMPLE > HOT)
+    often = sampled.mapInArrow(Sketches(None, least_words, True), "key bigint").groupBy("key").count().where(F.col("count") * HOT_SAMPLE > HOT)
     hot = {r[0]: -(-r[1] * HOT_SAMPLE // HOT) + 1 for r in often.collect()}  # few: each holds HOT rows of the bands
-    sketch_type = ", ".join(f"s{i} bigint" for i in range(SKETCH // 8))
-    rows = eligible.mapInArrow(Sketches(frequent, spark.sparkContext.broadcast(hot), least_words), f"key bigint, cell int, mine int, id bigint, size int, {sketch_type}")
+    sketch_type = ", ".join(f"s{i} bigint" for i in range(SKETCH // 16))
+    rows = eligible.mapInArrow(Sketches(spark.sparkContext.broadcast(hot), least_words), f"key bigint, cell int, mine int, id bigint, size int, {sketch_type}")
     met = rows.repartition(max(shuffle_partitions(spark), n_texts * BANDS // TASK_ROWS), "key", "cell").mapInArrow(Tiles(similarity), "id_a bigint, id_b bigint").distinct()
     name = F.xxhash64("key")
     copies = items.where("text is not null").select(F.xxhash64("text").alias("id"), name.alias("name")).groupBy("id").agg(F.min("name").alias("x"), F.max("name").alias("y"))

@@ -70,3 +70,23 @@ def test_groups_and_empty(spark):
         assert groups[a][0] == groups[b][0]
     assert set(groups) == {k for p in brute(rows) for k in p}
     assert neardup.similar_groups(df.limit(0)).count() == 0
+
+
+def test_family_of_a_third_with_scattered_edits(spark):
+    """What the members share is in a third of the texts, and their edits leave each many shingles of its own."""
+    random.seed(5)
+    base = [random.choice(WORDS) for _ in range(200)]
+    rows = [(f"o{i}", " ".join(random.choice(WORDS) for _ in range(200))) for i in range(240)]
+    for i in range(120):
+        w = list(base)
+        for at in random.sample(range(200), random.randint(10, 15)):
+            w[at] = f"e{i}x{at}"
+        rows.append((f"f{i}", " ".join(w)))
+    for i in range(6):  # a member and more: over half of its shingles are its own
+        rows.append((f"g{i}", " ".join(base + [f"g{i}y{k}" for k in range(190)])))
+    rows.append(("base", " ".join(base)))
+    df = spark.createDataFrame(rows, "key string, text string")
+    got = {(r.key_a, r.key_b) for r in neardup.similar_pairs(df).collect()}
+    expect = brute(rows)
+    assert len(expect) > 4000 and ("base", "g0") in expect
+    assert got <= expect and len(got) >= 0.97 * len(expect), (len(got), len(expect))
