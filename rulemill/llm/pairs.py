@@ -174,33 +174,34 @@ def features(questions: pa.Array, passages: pa.Array) -> Features:
             dense[i, AT[k]] = v
     value = np.concatenate([scale[row], np.full(len(tail_col), 1.5)])
     row, col = np.concatenate([row, np.array(tail_row, dtype=np.int64)]), np.concatenate([col, np.array(tail_col, dtype=np.int64)])
-    # words in common, only where the passage is not far longer than the question
-    near = (np_ <= 2 * nq + 20) & (nq > 0) & (np_ > 0)
+    # words in common
+    asker = np.repeat(np.arange(n), nq)
     common = told = np.zeros(n)
-    a, b = near[owner], near[np.repeat(np.arange(n), nq)]
-    key = np.concatenate([mix64(owner[a].astype(np.uint64)) ^ ph[a], mix64(np.repeat(np.arange(n), nq)[b].astype(np.uint64)) ^ qh[b]])
+    key = np.concatenate([mix64(owner.astype(np.uint64)) ^ ph, mix64(asker.astype(np.uint64)) ^ qh])
     if len(key):
         uniq, inv = np.unique(key, return_inverse=True)
-        k = int(a.sum())
+        k = len(ph)
         in_p, in_q = np.bincount(inv[:k], minlength=len(uniq)), np.bincount(inv[k:], minlength=len(uniq))
         who = np.zeros(len(uniq), dtype=np.int64)
-        who[inv[:k]] = owner[a]
-        who[inv[k:]] = np.repeat(np.arange(n), nq)[b]
+        who[inv[:k]] = owner
+        who[inv[k:]] = asker
         common = np.bincount(who, weights=np.minimum(in_p, in_q), minlength=n)
         told = np.bincount(who, weights=in_p * (in_q > 0), minlength=n)
     # all that the passage says, however often, is in the question; and how much of the question it says
     covered, covering = told / np.maximum(np_, 1), common / np.maximum(nq, 1)
+    # a passage that only says the question has the length of saying it once
+    once = np.where(covered >= 0.75, np_ * common / np.maximum(told, 1), np_)
     lp = main_languages(pf, po, ph, pw)
     lq = main_languages(qf, qo, qh, qw)
     lengths = np.diff(po)
     dense[:, AT["bias"]] = 1
     dense[:, AT["no_words"]] = np_ == 0
     dense[:, AT["few_words"]] = (np_ <= 4) & (lengths < 60)
-    dense[:, AT["short"]] = np_ <= 45
-    dense[:, AT["log_words"]] = np.log1p(np_) / 5
+    dense[:, AT["short"]] = once <= 45
+    dense[:, AT["log_words"]] = np.log1p(once) / 5
     dense[:, AT["covered"]] = np.where(covered > 0.5, covered, 0)
     dense[:, AT["covering"]] = covering * (covered > 0.5)
-    dense[:, AT["longer"]] = np.clip((np_ - nq) / 60, -1, 2)
+    dense[:, AT["longer"]] = np.clip((once - nq) / 60, -1, 2)
     known = (lp > 0) & (lq > 0)
     dense[:, AT["same_language"]] = known & (lp == lq)
     dense[:, AT["other_language"]] = known & (lp != lq)
@@ -268,6 +269,8 @@ def _copied(q: str, rng: np.random.Generator) -> str:
         out = out.rstrip("?") + "."
     if kind == 5:
         out = out.lower()
+    if rng.random() < 0.15:  # the question again and again
+        out = " ".join([out] * int(rng.integers(2, 7)))
     lead = str(rng.choice(LEAD_IN))
     return lead + out + ("”" if lead.endswith("“") else "")
 

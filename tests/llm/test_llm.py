@@ -184,6 +184,15 @@ def test_defects_of_held_out_pairs(spark):
         assert (got[truth == k] == k).mean() > 0.75, pairs.DEFECTS[k]
 
 
+def test_question_said_again_and_again_is_a_copy():
+    model = pairs.train(pairs.plain_pairs(400, np.random.default_rng(1)))
+    ask = "May the captain of the visiting team ask the umpire for a second review of the decision that was made in the last over before the interval when both scorers disagree?"
+    answered = f"{ask} " + " ".join(p for _, p in pairs.plain_pairs(4, np.random.default_rng(2)))
+    said = [" ".join([ask] * k) for k in (1, 2, 3, 5, 8)]
+    got = model.decide(pairs.features(pa.array([ask] * 6, pa.string()), pa.array([*said, answered], pa.string())))
+    assert [pairs.DEFECTS[k] if k >= 0 else "ok" for k in got] == ["copy"] * 5 + ["ok"]
+
+
 def test_pairs_cases(spark):
     ask = "May the runner return to the crease after the umpire has called over at the end?"
     sound = "Both sides wait behind the line until play is resumed. A captain shall be told of it before each new ball is bowled in that session."
