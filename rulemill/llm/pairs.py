@@ -208,7 +208,7 @@ def features(questions: pa.Array, passages: pa.Array) -> Features:
     dense[:, AT["unknown_language"]] = ~known
     dense[:, AT["has_question"]] = nq > 0
     final = dense[:, AT["final_mark"]] > 0
-    ok = np.stack([(np_ == 0) | ((np_ <= 4) & (lengths < 40) & ~((np_ > 2) & final)), (np_ > 0) & ~final & (dense[:, AT["thai_end"]] == 0), (np_ > 0) & (np_ <= 90) & (lengths <= 600), covered >= 0.75, known & (lp != lq)], axis=1)
+    ok = np.stack([(np_ == 0) | ((np_ <= 4) & (lengths < 40) & ~((np_ > 2) & final)), (np_ > 0) & ~final, (np_ > 0) & ((lp > 0) | (lengths <= 600)), covered >= 0.75, known & (lp != lq)], axis=1)
     return Features(dense * np.float32(DENSE_SCALE), row, col, value, ok)
 
 

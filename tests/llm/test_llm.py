@@ -193,6 +193,17 @@ def test_question_said_again_and_again_is_a_copy():
     assert [pairs.DEFECTS[k] if k >= 0 else "ok" for k in got] == ["copy"] * 5 + ["ok"]
 
 
+def test_long_refusal_is_found():
+    model = pairs.train(pairs.plain_pairs(400, np.random.default_rng(1)))
+    ask = "May the captain ask for a review before the interval when both scorers disagree?"
+    refused = f"I'm sorry, but I can't help with that. You asked: “{ask}” As an assistant I cannot state this for safety reasons. " + "I am not able to give this information because no source was supplied; please ask a qualified official. " * 6
+    sound = " ".join(p for _, p in pairs.plain_pairs(6, np.random.default_rng(2)))
+    noise = "0123abc45d" * 200  # long, and in no language
+    f = pairs.features(pa.array([ask] * 3, pa.string()), pa.array([refused, sound, noise + "."], pa.string()))
+    assert len(refused.split()) > 90 and len(sound.split()) > 90
+    assert [pairs.DEFECTS[k] if k >= 0 else "ok" for k in model.decide(f)] == ["refusal", "ok", "ok"]
+
+
 def test_pairs_cases(spark):
     ask = "May the runner return to the crease after the umpire has called over at the end?"
     sound = "Both sides wait behind the line until play is resumed. A captain shall be told of it before each new ball is bowled in that session."
