@@ -1,9 +1,11 @@
 """Near-duplicate passages with small edits (problem 6).
 
-Plan: (1) per text min-hash band keys and a sketch of half-byte min-hashes, over all its shingles;
-(2) texts that share a band key meet in one task and are compared tile by tile with exclusive-or
-and bit counts, pairs of tiles whose shingle counts differ beyond the radius being skipped; (3) the
-surviving pairs are verified exactly on their texts. Equal texts are one class from the start.
+Plan: (1) per text min-hash band keys and a sketch of half-byte min-hashes, over all its shingles,
+packed into one row per block of texts and part of the keys; (2) texts that share a band key meet in
+one task and are compared tile by tile with exclusive-or and bit counts, pairs of tiles whose shingle
+counts differ beyond the radius being skipped; (3) the surviving pairs are verified exactly on their
+texts. Equal texts are one class from the start. An exact search compares all tiles, by bitmaps whose
+differing bits never outnumber the differing shingles.
 
 No shingle is left out as frequent: wording that many texts have may be all that two of them share.
 """
@@ -24,14 +26,18 @@ from rulemill.session import cut, semi_join_sized, shuffle_partitions, table
 
 SHINGLE, SIMILARITY, LEAST_WORDS = 3, 0.5, 40
 #: Bands of min-hashes; texts of similarity s meet with 1 - (1 - s**ROWS)**BANDS.
-BANDS, ROWS = 27, 3
+BANDS, ROWS = 36, 3
 #: Half-byte min-hashes of the sketch, those of the bands first; pairs that agree in fewer than AGREE
 #: are not similar (a pair of similarity 0.5 does so with 7e-5).
 SKETCH, AGREE = 96, 33
 #: Rows of a tile, and rows of a band key above which it is spread over a grid of tasks.
 TILE, HOT = 512, 20_000
-#: Rows of band keys that one task compares, about; the number of tasks grows with the texts.
-TASK_ROWS = 500_000
+#: Rows of band keys that one task compares and pairs that one task verifies, about; the number of tasks grows with both.
+TASK_ROWS, TASK_PAIRS = 500_000, 20_000
+#: Characters of texts that are sketched and packed at once.
+BLOCK = 4_000_000
+#: 64-bit words of a bitmap in an exact search.
+BITMAP = 8
 #: One text in so many is looked at to find hot keys; that decides the spread, not the result.
 HOT_SAMPLE = 64
 WORD_BASE, SEED = 0x5851F42D4C957F2D, 20_240_611
@@ -98,60 +104,90 @@ def _minima(s: np.ndarray, offsets: np.ndarray, factors: np.ndarray) -> np.ndarr
     return out
 
 
+#: Columns of a packed block of texts for one part of the band keys.
+PACKED = "part int, ids binary, sizes binary, sketch binary, who binary, keys binary"
+#: Of a packed text number: the key is off the diagonal of its grid, and which of the two salts the text has.
+OFF, SIDE = np.uint32(1 << 31), np.uint32(1 << 30)
+
+
+def bitmaps(s: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A bitmap of each set in which every member turns one bit over; two sets differ in as many members as bits, at least."""
+    bit = (mix64(s) >> np.uint64(40)) % np.uint64(64 * BITMAP)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    odd = np.bincount(row * (64 * BITMAP) + bit.astype(np.int64), minlength=(len(offsets) - 1) * 64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, 64 * BITMAP), axis=1, bitorder="little").view(np.uint64)
+
+
 class Sketches:
-    """Per text: band keys, id, shingle count and sketch, one row per band (and grid cell of a hot key)."""
+    """Packed band keys, ids, shingle counts and sketches of the texts, one row per block of texts and part of the keys.
 
-    def __init__(self, hot, least_words: int, keys_only: bool = False):
-        self.hot, self.least_words, self.keys_only = hot, least_words, keys_only
+    In an exact search there is one key, which all texts have, and bitmaps stand for sketches.
+    """
+
+    def __init__(self, parts: int, hot, least_words: int, exact: int = 0, keys_only: bool = False):
+        self.parts, self.hot, self.least_words, self.exact, self.keys_only = parts, hot, least_words, exact, keys_only
 
     def __call__(self, batches):
-        hot = self.hot.value if self.hot is not None else {}
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in blocks(batch.column(1)):
+            for a, b in blocks(batch.column(1), BLOCK):
                 s, offsets, n_words = short_sets(batch.column(1)[a:b])
                 fresh = []
-                for i, x in enumerate(ids[a:b].tolist()):
+                for x in ids[a:b].tolist():
                     fresh.append(x not in seen)
                     seen.add(x)
                 size = np.diff(offsets)
                 use = np.array(fresh, dtype=bool) & (n_words >= self.least_words) & (size > 0)
                 if use.any():
-                    yield from self._emit(ids[a:b], use, s, size, hot)
-
-    def _emit(self, ids, rows, s, size, hot):
-        who = np.flatnonzero(rows)
-        offsets = np.concatenate([[0], np.cumsum(size[who])])
-        low = _minima(s[np.repeat(rows, size)], offsets, _factors())
-        bands = low[:, : BANDS * ROWS].reshape(len(who), BANDS, ROWS)
-        key = np.zeros((len(who), BANDS), dtype=np.uint64)
-        for r in range(ROWS):
-            key = mix64(key + bands[:, :, r])
-        key = mix64(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-        if self.keys_only:
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel())], names=["key"])
-            return
-        half = (mix64(low[:, :SKETCH]) >> np.uint64(11)).astype(np.uint8) & np.uint8(15)
-        sketch = np.ascontiguousarray(half[:, ::2] | half[:, 1::2] << np.uint8(4)).view(np.int64)
-        row = np.repeat(np.arange(len(who)), BANDS)
-        key = key.ravel()
-        cell, mine = np.zeros(len(key), dtype=np.int32), np.full(len(key), -1, dtype=np.int32)
-        if hot:
-            extra = [(i, hot[k]) for i, k in enumerate(key.tolist()) if k in hot]
-            if extra:
-                keep = np.ones(len(key), dtype=bool)
-                more: list[tuple[int, int, int]] = []
-                for i, salts in extra:
-                    keep[i] = False
-                    m = int(mix64(ids[who[row[i]] : who[row[i]] + 1].view(np.uint64))[0] % np.uint64(salts))
-                    more += [(i, -1 - m if t == m else min(m, t) * salts + max(m, t) + 1, m) for t in range(salts)]
-                grid = np.array(more, dtype=np.int64)
-                take = np.concatenate([np.flatnonzero(keep), grid[:, 0]])
-                row, key = row[take], key[take]
-                cell, mine = np.concatenate([cell[keep], grid[:, 1].astype(np.int32)]), np.concatenate([mine[keep], grid[:, 2].astype(np.int32)])
-        cols = [pa.array(key), pa.array(cell), pa.array(mine), pa.array(ids[who][row]), pa.array(size[who][row].astype(np.int32)), *(pa.array(sketch[row, i]) for i in range(SKETCH // 16))]
-        yield pa.RecordBatch.from_arrays(cols, names=["key", "cell", "mine", "id", "size", *(f"s{i}" for i in range(SKETCH // 16))])
+                    yield from self._emit(ids[a:b][use], s[np.repeat(use, size)], size[use])
+
+    def _emit(self, ids, s, size):
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        if self.exact:
+            key, sketch = np.zeros((len(ids), 1), dtype=np.uint64), bitmaps(s, offsets)
+        else:
+            low = _minima(s, offsets, _factors())
+            bands = low[:, : BANDS * ROWS].reshape(len(ids), BANDS, ROWS)
+            key = np.zeros((len(ids), BANDS), dtype=np.uint64)
+            for r in range(ROWS):
+                key = mix64(key + bands[:, :, r])
+            key = mix64(key + np.arange(BANDS, dtype=np.uint64))
+            if self.keys_only:
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64))], names=["key"])
+                return
+            half = (mix64(low[:, :SKETCH]) >> np.uint64(11)).astype(np.uint8) & np.uint8(15)
+            sketch = np.ascontiguousarray(half[:, ::2] | half[:, 1::2] << np.uint8(4)).view(np.uint64)
+        who = np.repeat(np.arange(len(ids), dtype=np.uint32), key.shape[1])
+        key, who = self._spread(ids, key.ravel(), who)
+        part = ((key >> np.uint64(32)) % np.uint64(self.parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part, key, who = part[order], key[order].astype(np.uint32), who[order]
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        cols: list[list] = [[] for _ in range(6)]
+        for x, y in zip(edges[:-1], edges[1:]):
+            flags = who[x:y] & (OFF | SIDE)
+            held, local = np.unique(who[x:y] & ~(OFF | SIDE), return_inverse=True)
+            for c, v in zip(cols, (int(part[x]), ids[held].tobytes(), size[held].astype(np.int32).tobytes(), sketch[held].tobytes(), (local.astype(np.uint32) | flags).tobytes(), key[x:y].tobytes())):
+                c.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "ids", "sizes", "sketch", "who", "keys"])
+
+    def _spread(self, ids, key, who):
+        """Keys made even; a hot key becomes the keys of the grid cells in which its text has to be."""
+        keys, salts = (np.zeros(1, np.uint64), np.array([self.exact])) if self.exact else self.hot.value if self.hot is not None else (np.zeros(0, np.uint64), np.zeros(0))
+        if not len(keys):
+            return mix64(key), who
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = keys[at] == key
+        n = salts[at[hit]].astype(np.uint64)
+        mine = mix64(ids.view(np.uint64)[who[hit]]) % n
+        row = np.repeat(np.arange(len(n)), n.astype(np.int64))
+        other = (np.arange(len(row)) - np.repeat(np.cumsum(n).astype(np.int64) - n.astype(np.int64), n.astype(np.int64))).astype(np.uint64)
+        first, second = np.minimum(mine[row], other), np.maximum(mine[row], other)
+        cell = mix64(mix64(key[hit][row]) + mix64(first * np.uint64(1_000_003) + second + np.uint64(1)))
+        off = first != second
+        flags = np.where(off, OFF | np.where(mine[row] == first, SIDE, np.uint32(0)), np.uint32(0)).astype(np.uint32)
+        return np.concatenate([mix64(key[~hit]), cell]), np.concatenate([who[~hit], who[hit][row] | flags])
 
 
 ONES = np.uint64(0x1111111111111111)
@@ -159,52 +195,69 @@ ONES = np.uint64(0x1111111111111111)
 
 def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Equal half-bytes of two arrays of sketches: exclusive-or, then a count of the half-bytes that are not zero."""
-    x = a ^ b
-    x |= x >> np.uint64(2)
-    x |= x >> np.uint64(1)
-    x &= ONES
-    return SKETCH - np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
+    out = np.full(np.broadcast_shapes(a.shape, b.shape)[:-1], SKETCH, dtype=np.int16)
+    for k in range(a.shape[-1]):
+        x = a[..., k] ^ b[..., k]
+        x |= x >> np.uint64(2)
+        x |= x >> np.uint64(1)
+        x &= ONES
+        out -= np.bitwise_count(x)
+    return out
 
 
 class Tiles:
     """Compares the texts of each band key; yields candidate pairs of ids, smaller first."""
 
-    def __init__(self, similarity: float):
-        self.similarity = similarity
+    def __init__(self, similarity: float, exact: bool = False):
+        self.similarity, self.exact = similarity, exact
 
     def __call__(self, batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
+        held: list[tuple] = []
+        base = 0
+        for batch in batches:
+            part = batch.column(0).to_pylist()
+            for i in range(batch.num_rows):
+                ids, size, sketch, who, key = (np.frombuffer(batch.column(k + 1)[i].as_buffer(), dtype=t) for k, t in enumerate((np.int64, np.int32, np.uint64, np.uint32, np.uint32)))
+                flags = who & (OFF | SIDE)
+                held.append((ids, size, sketch.reshape(len(ids), -1), (who & ~(OFF | SIDE)).astype(np.int64) + base, (flags >> np.uint32(30)).astype(np.int8), key.astype(np.uint64) | np.uint64(part[i]) << np.uint64(32)))
+                base += len(ids)
+        if not held:
             return
-        t = pa.Table.from_batches(parts)
-        col = {n: t[n].to_numpy() for n in t.column_names}
-        order = np.lexsort((col["id"], col["size"], col["cell"], col["key"]))
-        key, cell, mine, ids, size = (col[n][order] for n in ("key", "cell", "mine", "id", "size"))
-        sketch = np.stack([col[f"s{i}"][order] for i in range(SKETCH // 16)], axis=1).view(np.uint64)
-        begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
+        self.ids, self.size, self.sketch, who, flag, key = (np.concatenate(x) for x in zip(*held))
+        del held
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        same = key[1:] == key[:-1]
+        met = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        order, key = order[met], key[met]
+        self.who, self.flag = who[order], flag[order]
+        by_size = np.lexsort((self.size[self.who], key))
+        self.who, self.flag, key = self.who[by_size], self.flag[by_size], key[by_size]
+        yield from self._runs(key)
+
+    def _runs(self, key):
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
         length = np.diff(np.append(begin, len(key)))
         pairs: list[np.ndarray] = []
         held = 0
         small = length <= 64
-        run_of = np.repeat(np.arange(len(begin)), length)
+        end_of = np.repeat(begin + length, length)
+        at = np.flatnonzero(np.repeat(small, length))
         for d in range(1, int(length[small].max(initial=1))):  # all short runs at once, by distance
-            runs = small & (length > d)
-            i = np.flatnonzero(runs[run_of] & (np.arange(len(key)) + d < (begin + length)[run_of]))
-            if not len(i):
-                break
-            pairs.append(self._close(i, i + d, ids, size, sketch, mine, cell))
+            at = at[at + d < end_of[at]]
+            pairs.append(self._close(at, at + d))
         for r in np.flatnonzero(~small):
             lo, hi = int(begin[r]), int(begin[r] + length[r])
+            size = self.size[self.who[lo:hi]]
             for a in range(lo, hi, TILE):
                 for b in range(a, hi, TILE):
-                    if size[b] * self.similarity > size[min(a + TILE, hi) - 1] + 2:
-                        break  # sizes ascend: this and all later tiles are beyond the radius
+                    if size[b - lo] * self.similarity > size[min(a + TILE, hi) - 1 - lo] + 2:
+                        break  # counts ascend: this and all later tiles are beyond the radius
                     i, j = np.arange(a, min(a + TILE, hi)), np.arange(b, min(b + TILE, hi))
-                    agree = agreements(sketch[i][:, None, :], sketch[j][None, :, :])
-                    x, y = np.nonzero(agree >= AGREE)
+                    x, y = np.nonzero(self._alike(self.who[i][:, None], self.who[j][None, :]))
                     x, y = i[x], j[y]
                     ok = x < y
-                    pairs.append(self._close(x[ok], y[ok], ids, size, sketch, mine, cell))
+                    pairs.append(self._close(x[ok], y[ok]))
                     held += len(pairs[-1])
                     if held > 500_000:
                         yield self._rows(pairs)
@@ -212,14 +265,27 @@ class Tiles:
         if pairs:
             yield self._rows(pairs)
 
-    def _close(self, i, j, ids, size, sketch, mine, cell):
+    def _alike(self, i, j):
+        """Whether the sketches of texts ``i`` and ``j`` may be those of similar texts."""
+        if not self.exact:
+            return agreements(self.sketch[i], self.sketch[j]) >= AGREE
+        differ = np.zeros(np.broadcast_shapes(i.shape, j.shape), dtype=np.int32)
+        for k in range(self.sketch.shape[1]):
+            differ += np.bitwise_count(self.sketch[i, k] ^ self.sketch[j, k])
         # shortened hashes may make a set seem a little smaller than it is
-        ok = (size[i] + 2 >= self.similarity * size[j]) & (size[j] + 2 >= self.similarity * size[i]) & (ids[i] != ids[j])
-        # off the diagonal of a hot key's grid (cell > 0) only pairs across the two salts count
-        ok &= (cell[i] <= 0) | (mine[i] != mine[j])
-        i, j = i[ok], j[ok]
-        ok = agreements(sketch[i], sketch[j]) >= AGREE
-        return np.stack([np.minimum(ids[i[ok]], ids[j[ok]]), np.maximum(ids[i[ok]], ids[j[ok]])], axis=1)
+        return differ <= (self.size[i] + self.size[j] + 4) * ((1 - self.similarity) / (1 + self.similarity))
+
+    def _close(self, i, j):
+        a, b = self.who[i], self.who[j]
+        ok = (self.size[a] + 2 >= self.similarity * self.size[b]) & (self.size[b] + 2 >= self.similarity * self.size[a]) & (self.ids[a] != self.ids[b])
+        # off the diagonal of a hot key's grid only pairs across the two salts count
+        ok &= (self.flag[i] == 0) | (self.flag[i] != self.flag[j])
+        a, b = a[ok], b[ok]
+        found = [np.zeros(0, dtype=bool)]
+        found += [self._alike(a[x : x + 1_000_000], b[x : x + 1_000_000]) for x in range(0, len(a), 1_000_000)]
+        ok = np.concatenate(found)
+        a, b = self.ids[a[ok]], self.ids[b[ok]]
+        return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
     @staticmethod
     def _rows(pairs):
@@ -228,28 +294,42 @@ class Tiles:
 
 
 class Verify:
-    """Exact similarity of both texts of each pair."""
+    """Exact similarity of both texts of each pair; a text that several pairs of a block have is read once."""
 
     def __init__(self, similarity: float, least_words: int):
         self.similarity, self.least_words = similarity, least_words
 
     def __call__(self, batches):
         for batch in batches:
-            n = batch.num_rows
-            out = np.zeros(n)
-            for a, b in blocks(batch.column(2), 500_000):
-                s, o, w = shingle_sets(batch.column(2)[a:b])
-                s2, o2, w2 = shingle_sets(batch.column(3)[a:b])
-                who = np.concatenate([np.repeat(np.arange(b - a), np.diff(o)), np.repeat(np.arange(b - a), np.diff(o2))])
-                both = np.concatenate([s, s2])
-                order = np.lexsort((both, who))
-                both, who = both[order], who[order]
-                twice = (both[1:] == both[:-1]) & (who[1:] == who[:-1])
-                shared = np.bincount(who[1:][twice], minlength=b - a)
-                total = np.diff(o) + np.diff(o2) - shared
-                out[a:b] = np.where((w >= self.least_words) & (w2 >= self.least_words) & (total > 0), shared / np.maximum(total, 1), 0)
-            ok = pa.array(np.flatnonzero(out >= self.similarity))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(ok), batch.column(1).take(ok), pa.array(out[out >= self.similarity])], names=["id_a", "id_b", "similarity"])
+            out = [np.zeros(0)]
+            for a, b in blocks(batch.column(2), 3_000_000):
+                out.append(self._of(batch.slice(a, b - a)))
+            s = np.concatenate(out)
+            ok = pa.array(np.flatnonzero(s >= self.similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(ok), batch.column(1).take(ok), pa.array(s[s >= self.similarity])], names=["id_a", "id_b", "similarity"])
+
+    def _of(self, batch):
+        n = batch.num_rows
+        both = np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+        _, at, text = np.unique(both, return_index=True, return_inverse=True)
+        texts = pa.chunked_array([batch.column(2), batch.column(3)]).take(pa.array(at)).combine_chunks()
+        s, o, w = shingle_sets(texts)
+        _, code = np.unique(s, return_inverse=True)
+        size = np.diff(o)
+        shared = np.zeros(n, dtype=np.int64)
+        step = max(1, int(4_000_000 / (2 * max(1.0, size.mean()))))
+        for x in range(0, n, step):
+            a, b = text[x : min(n, x + step)], text[n + x : n + min(n, x + step)]
+            sides = []
+            for t in (a, b):
+                k = size[t]
+                place = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(o[t], k)
+                sides.append(np.repeat(np.arange(len(t), dtype=np.uint64), k) << np.uint64(32) | code[place].astype(np.uint64))
+            m = np.sort(np.concatenate(sides))
+            shared[x : x + len(a)] = np.bincount((m[1:][m[1:] == m[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(a))
+        a, b = text[:n], text[n:]
+        total = size[a] + size[b] - shared
+        return np.where((w[a] >= self.least_words) & (w[b] >= self.least_words) & (total > 0), shared / np.maximum(total, 1), 0)
 
 
 def _classes(items: DataFrame) -> DataFrame:
@@ -257,44 +337,50 @@ def _classes(items: DataFrame) -> DataFrame:
     return items.select(F.xxhash64("text").alias("id"), "text")
 
 
-def similar_classes(items: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+def similar_classes(items: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pairs ``id_a, id_b, similarity`` of classes of equal texts, and the members ``id, key`` of all classes that were looked at.
 
     The smaller id comes first; a class of two or more keys is paired with itself.
 
     ``items`` has key and text. The id is the 64-bit hash of the text. Only texts of at least
     ``least_words`` words take part. Similarity is that of the sets of three-word shingles.
+    With ``exact`` all tiles are compared, by bitmaps that lose no pair: the work then grows with
+    the square of the texts.
     """
     spark = items.sparkSession
-    texts = _classes(items.where("text is not null"))
-    eligible = texts.where(F.length("text") >= 2 * least_words - 1)
-    n_texts = eligible.count()
-    sampled = _classes(items.where(F.pmod(F.xxhash64("key"), F.lit(HOT_SAMPLE)) == 0).where(F.length("text") >= 2 * least_words - 1))
-    often = sampled.mapInArrow(Sketches(None, least_words, True), "key bigint").groupBy("key").count().where(F.col("count") * HOT_SAMPLE > HOT)
-    hot = {r[0]: -(-r[1] * HOT_SAMPLE // HOT) + 1 for r in often.collect()}  # few: each holds HOT rows of the bands
-    sketch_type = ", ".join(f"s{i} bigint" for i in range(SKETCH // 16))
-    rows = eligible.mapInArrow(Sketches(spark.sparkContext.broadcast(hot), least_words), f"key bigint, cell int, mine int, id bigint, size int, {sketch_type}")
-    met = rows.repartition(max(shuffle_partitions(spark), n_texts * BANDS // TASK_ROWS), "key", "cell").mapInArrow(Tiles(similarity), "id_a bigint, id_b bigint").distinct()
+    n_texts = items.select(F.lit(1)).count()  # texts are not read for this
+    eligible = _classes(items.where("text is not null")).where(F.length("text") >= 2 * least_words - 1)
+    grid = -(-n_texts // HOT) if exact else 0
+    parts = max(shuffle_partitions(spark), grid * (grid + 1) // 2 if exact else n_texts * BANDS // TASK_ROWS)
+    hot = None
+    if not exact:
+        sampled = _classes(items.where(F.pmod(F.xxhash64("key"), F.lit(HOT_SAMPLE)) == 0).where(F.length("text") >= 2 * least_words - 1))
+        often = sampled.mapInArrow(Sketches(1, None, least_words, 0, True), "key bigint").groupBy("key").count().where(F.col("count") * HOT_SAMPLE > HOT)
+        found = sorted((r[0] & (2**64 - 1), -(-r[1] * HOT_SAMPLE // HOT) + 1) for r in often.collect())  # few: each holds HOT rows of the bands
+        hot = spark.sparkContext.broadcast((np.array([k for k, _ in found], dtype=np.uint64), np.array([n for _, n in found], dtype=np.int64)))
+    rows = eligible.mapInArrow(Sketches(parts, hot, least_words, grid), PACKED)
+    met = rows.repartitionById(parts, F.col("part")).mapInArrow(Tiles(similarity, exact), "id_a bigint, id_b bigint").distinct()
     name = F.xxhash64("key")
     copies = items.where("text is not null").select(F.xxhash64("text").alias("id"), name.alias("name")).groupBy("id").agg(F.min("name").alias("x"), F.max("name").alias("y"))
     copies = copies.where("x <> y").select(F.col("id").alias("id_a"), F.col("id").alias("id_b"))
     candidates = cut(met.union(copies))
     ids = cut(candidates.select(F.col("id_a").alias("id")).union(candidates.select("id_b")).distinct())
     members = cut(semi_join_sized(items.where("text is not null").select(F.xxhash64("text").alias("id"), "key", "text"), ids, "id"))
-    held = members.select("id", "text").dropDuplicates(["id"])
+    spread = max(shuffle_partitions(spark), candidates.count() // TASK_PAIRS)
+    held = members.select("id", "text").repartition(spread, "id").dropDuplicates(["id"])
     a, b = held.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), held.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"))
-    pairs = candidates.join(a, "id_a").join(b, "id_b").select("id_a", "id_b", "text_a", "text_b")
+    pairs = candidates.repartition(spread, "id_a").join(a, "id_a").repartition(spread, "id_b").join(b, "id_b").select("id_a", "id_b", "text_a", "text_b")
     links = cut(pairs.mapInArrow(Verify(similarity, least_words), "id_a bigint, id_b bigint, similarity double"))
     return links, members.select("id", "key").distinct()
 
 
-def similar_pairs(items: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
+def similar_pairs(items: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, exact: bool = False) -> DataFrame:
     """``key_a, key_b, similarity`` of all pairs of different keys with similar texts, smaller first.
 
     A key that comes twice with one text counts once. Null keys and texts, and texts of too few
     words, have no row; an empty table gives none. Copies are expanded only here, at the end.
     """
-    links, held = similar_classes(items.where("key is not null"), similarity, least_words)
+    links, held = similar_classes(items.where("key is not null"), similarity, least_words, exact)
     a, b = held.select(F.col("id").alias("id_a"), F.col("key").alias("key_1")), held.select(F.col("id").alias("id_b"), F.col("key").alias("key_2"))
     out = links.join(a, "id_a").join(b, "id_b").where("key_1 <> key_2 and (id_a <> id_b or key_1 < key_2)")
     return out.select(F.least("key_1", "key_2").alias("key_a"), F.greatest("key_1", "key_2").alias("key_b"), "similarity").distinct()

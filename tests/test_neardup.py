@@ -90,3 +90,21 @@ def test_family_of_a_third_with_scattered_edits(spark):
     expect = brute(rows)
     assert len(expect) > 4000 and ("base", "g0") in expect
     assert got <= expect and len(got) >= 0.97 * len(expect), (len(got), len(expect))
+
+
+def test_boilerplate_loses_no_pair_in_an_exact_search(spark):
+    """Texts that share 74 of 104 words: every pair has similarity 0.545, all by frequent shingles."""
+    shared = [f"s{k}" for k in range(74)]
+    rows = [(f"b{i:03}", " ".join(shared + [f"o{i}x{k}" for k in range(30)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "key string, text string")
+    assert neardup.similar_pairs(df, exact=True).count() == 400 * 399 // 2
+    assert neardup.similar_pairs(df).count() >= 0.99 * 400 * 399 // 2
+    assert neardup.similar_pairs(df.limit(0), exact=True).count() == 0
+
+
+def test_exact_search_equals_brute_force_over_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 60)
+    monkeypatch.setattr(neardup, "TILE", 16)
+    rows = made(150, 3, 40)
+    df = spark.createDataFrame(rows, "key string, text string")
+    assert {(r.key_a, r.key_b) for r in neardup.similar_pairs(df, exact=True).collect()} == brute(rows)
