@@ -1,6 +1,6 @@
 """Near-duplicate passages with small edits (problem 6).
 
-Plan: (1) per text min-hash band keys and a sketch of half-byte min-hashes, over all its shingles,
+Plan: (1) per text min-hash band keys and a sketch of two-bit min-hashes, over all its shingles,
 packed into one row per block of texts and part of the keys; (2) texts that share a band key meet in
 one task and are compared tile by tile with exclusive-or and bit counts, pairs of tiles whose shingle
 counts differ beyond the radius being skipped; (3) the surviving pairs are verified exactly on their
@@ -26,14 +26,14 @@ from rulemill.session import cut, semi_join_sized, shuffle_partitions, table
 
 SHINGLE, SIMILARITY, LEAST_WORDS = 3, 0.5, 40
 #: Bands of min-hashes; texts of similarity s meet with 1 - (1 - s**ROWS)**BANDS.
-BANDS, ROWS = 36, 3
-#: Half-byte min-hashes of the sketch, those of the bands first; pairs that agree in fewer than AGREE
-#: are not similar (a pair of similarity 0.5 does so with 7e-5).
-SKETCH, AGREE = 96, 33
+BANDS, ROWS = 30, 3
+#: Two-bit min-hashes of the sketch, those of the bands first; pairs that agree in fewer than AGREE
+#: are not similar (a pair of similarity 0.5 does so with 9e-5).
+SKETCH, AGREE = 128, 60
 #: Rows of a tile, and rows of a band key above which it is spread over a grid of tasks.
 TILE, HOT = 512, 20_000
-#: Rows of band keys that one task compares and pairs that one task verifies, about; the number of tasks grows with both.
-TASK_ROWS, TASK_PAIRS = 500_000, 20_000
+#: Band keys that one task compares (about 100 MB) and pairs that one task verifies, about; the number of tasks grows with both.
+TASK_ROWS, TASK_PAIRS = 2_000_000, 20_000
 #: Characters of texts that are sketched and packed at once.
 BLOCK = 4_000_000
 #: 64-bit words of a bitmap in an exact search.
@@ -156,8 +156,8 @@ class Sketches:
             if self.keys_only:
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64))], names=["key"])
                 return
-            half = (mix64(low[:, :SKETCH]) >> np.uint64(11)).astype(np.uint8) & np.uint8(15)
-            sketch = np.ascontiguousarray(half[:, ::2] | half[:, 1::2] << np.uint8(4)).view(np.uint64)
+            two = ((mix64(low[:, :SKETCH]) >> np.uint64(11)).astype(np.uint8) & np.uint8(3)) << np.tile(np.arange(0, 8, 2, dtype=np.uint8), SKETCH // 4)
+            sketch = np.bitwise_or.reduce(two.reshape(len(ids), -1, 4), axis=2).view(np.uint64)
         who = np.repeat(np.arange(len(ids), dtype=np.uint32), key.shape[1])
         key, who = self._spread(ids, key.ravel(), who)
         part = ((key >> np.uint64(32)) % np.uint64(self.parts)).astype(np.int32)
@@ -190,15 +190,14 @@ class Sketches:
         return np.concatenate([mix64(key[~hit]), cell]), np.concatenate([who[~hit], who[hit][row] | flags])
 
 
-ONES = np.uint64(0x1111111111111111)
+ONES = np.uint64(0x5555555555555555)
 
 
 def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal half-bytes of two arrays of sketches: exclusive-or, then a count of the half-bytes that are not zero."""
+    """Equal two-bit values of two arrays of sketches: exclusive-or, then a count of the values that are not zero."""
     out = np.full(np.broadcast_shapes(a.shape, b.shape)[:-1], SKETCH, dtype=np.int16)
     for k in range(a.shape[-1]):
         x = a[..., k] ^ b[..., k]
-        x |= x >> np.uint64(2)
         x |= x >> np.uint64(1)
         x &= ONES
         out -= np.bitwise_count(x)
