@@ -28,8 +28,8 @@ SHINGLE, SIMILARITY, LEAST_WORDS = 3, 0.5, 40
 #: Bands of min-hashes; texts of similarity s meet with 1 - (1 - s**ROWS)**BANDS.
 BANDS, ROWS = 30, 3
 #: Two-bit min-hashes of the sketch, those of the bands first; pairs that agree in fewer than AGREE
-#: are not similar (a pair of similarity 0.5 does so with 9e-5).
-SKETCH, AGREE = 128, 60
+#: are not similar (a pair of similarity 0.5 exactly does so with 1.3e-3, one of 0.55 with 6e-5).
+SKETCH, AGREE = 128, 64
 #: Rows of a tile, and rows of a band key above which it is spread over a grid of tasks.
 TILE, HOT = 512, 20_000
 #: Band keys that one task compares (about 100 MB) and pairs that one task verifies, about; the number of tasks grows with both.
