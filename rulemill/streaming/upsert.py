@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from rulemill.operators.indexing import sync_actions
+from rulemill.schemas import CHUNK_COLUMNS, CHUNKS
+from rulemill.session import cut
 from rulemill.sources.io import read_chunks, write_chunks
 
 
@@ -16,20 +19,41 @@ def stream_chunks(spark: SparkSession, path: str, schema: StructType, files_per_
 
 
 def sync_batch(batch: DataFrame, index_path: str, log_path: str, batch_id: int) -> None:
-    """Bring the documents of one micro-batch into the index and log what was done.
+    """Bring the chunks of one micro-batch into the index and log what was done.
 
-    Whole partitions of the documents are rewritten and the log is written under the batch's number, so
-    a repeated batch has the same result. Of a chunk that comes twice in a batch one row counts.
+    A batch is a part of its documents: chunks are put in by chunk_id, the others of the document stay. Only
+    a document with a true ``complete`` (an optional boolean column of the batch) in some row is taken to be whole, and
+    chunks it lacks are deleted. Of a chunk that comes twice in a batch the row of the greatest hash counts. A repeated batch leaves
+    the index as it is, and the log as it was first written. A missing index is an empty one.
     """
     spark = batch.sparkSession
-    once = batch.dropDuplicates(["chunk_id"]).persist()
+    complete = F.coalesce(F.col("complete"), F.lit(False)) if "complete" in batch.columns else F.lit(False)
+    held = batch.withColumn("complete", complete).where("chunk_id is not null and doc_id is not null").persist()
     try:
-        old = read_chunks(spark, index_path)
-        actions = sync_actions(once, old)
-        actions.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        write_chunks(once.select(*old.columns), index_path)
+        newest = Window.partitionBy("chunk_id").orderBy(F.desc("content_hash"), "status")
+        once = held.withColumn("n", F.row_number().over(newest)).where("n = 1").drop("n")
+        docs = held.groupBy("doc_id").agg(F.max("complete").alias("whole"))
+        touched = cut(existing(spark, index_path).join(docs, "doc_id"))  # what is read must not be what is being rewritten
+        stays = touched.where("not whole").join(once.select("chunk_id"), "chunk_id", "left_anti").select(CHUNK_COLUMNS)
+        log = f"{log_path}/batch={batch_id}"
+        if not written(spark, log):
+            changed = touched.join(stays.select("chunk_id"), "chunk_id", "left_anti").select(CHUNK_COLUMNS)
+            sync_actions(once, changed).write.mode("overwrite").parquet(log)
+        write_chunks(stays.unionByName(once.select(CHUNK_COLUMNS)), index_path)
     finally:
-        once.unpersist()
+        held.unpersist()
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def existing(spark: SparkSession, path: str) -> DataFrame:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return read_chunks(spark, path) if there else spark.createDataFrame([], CHUNKS)
 
 
 def start_sync(stream: DataFrame, index_path: str, log_path: str, checkpoint: str) -> StreamingQuery:

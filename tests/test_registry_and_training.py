@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from rulemill.operators import discovery, indexing, training
 from rulemill.schemas import CHUNK_COLUMNS, CHUNKS
 from rulemill.sources import io
-from rulemill.streaming.upsert import start_sync, stream_chunks
+from rulemill.streaming.upsert import start_sync, stream_chunks, sync_batch
 
 CHUNK = "chunk_id string, doc_id string, content_hash string, status string"
 
@@ -57,8 +57,15 @@ def test_titles(spark):
 def test_links(spark):
     html = '<a href="/x.PDF"> Rules <b>2026</b></a><a href="/no.html">n</a><a href="/e.pdf"></a>'
     assert discovery.anchor_links(html) == [("Rules2026", "/x.PDF")]
-    script = r'{\"title\":\"Players & Officials\",\"fileUrl\":\"https://x.example/a.pdf\"}'
-    assert discovery.embedded_links(script) == [("Players & Officials", "https://x.example/a.pdf")]
+    script = r'[{\"title\":\"Umpires \u0026 Scorers\",\"fileUrl\":\"https://files.example/u.pdf\"}, {"title":"Bad \x y","fileUrl":"https://files.example/b.pdf"}, {"title":"no","fileUrl":"http://x/c.pdf"}]'
+    held = spark.createDataFrame([("s", script), ("long", '{"title":"' + "x" * 200_000), ("z", None)], "page_url string, html string")
+    links = {(r.page_url, r.title, r.url) for r in discovery.extract_links(held, "bcci_embedded_json").collect()}
+    assert links == {("s", "Umpires & Scorers", "https://files.example/u.pdf"), ("s", r"Bad \x y", "https://files.example/b.pdf")}
+    first = spark.createDataFrame([("https://h.example/list/", '<a href="doc/one">One</a><a href="/doc/two">Two</a><a href="doc/one">again</a><a href="x">no</a>')], "page_url string, html string")
+    assert {r.next_url for r in discovery.document_pages(first, "doc/").collect()} == {"https://h.example/list/doc/one", "https://h.example/doc/two"}
+    second = spark.createDataFrame([("https://h.example/doc/two", '<a href="/t.pdf">Men\'s Test Conditions June 2025</a>')], "page_url string, html string")
+    about = spark.createDataFrame([("https://h.example/list/", "icc_html", "icc", "icc", "pc", [], [])], "page_url string, parser string, body string, prefix string, doc_type string, include array<string>, exclude array<string>")
+    assert [r.doc_id for r in discovery.discover_two_hops(first, second, about, "doc/").collect()] == ["icc_mens_test_2025_06"]
     pages = spark.createDataFrame([("p", html), ("z", None)], "page_url string, html string")
     assert [(r.title, r.url) for r in discovery.extract_links(pages, "icc_html").collect()] == [("Rules2026", "/x.PDF")]
 
@@ -103,14 +110,42 @@ def test_io_round_trip(spark, tmp_path):
 
 
 def test_stream(spark, tmp_path):
+    """A late chunk leaves its document whole, a repeated batch changes nothing, a complete document drops what it lacks."""
+    index, log = str(tmp_path / "index"), str(tmp_path / "log")
+
+    def rows(*chunks, complete=None):
+        made = [(f"{d}::{n}::0", d, "b", "laws", "all", "laws", "2026", 1, str(n), "t", "p", 1, 1, 0, h, "active", "text") for d, n, h in chunks]
+        df = spark.createDataFrame(made, CHUNKS)
+        return df if complete is None else df.withColumn("complete", F.lit(complete))
+
+    def held():
+        return sorted((r.chunk_id, r.content_hash) for r in io.read_chunks(spark, index).collect())
+
+    def logged(n):
+        return {r.chunk_id: r.action for r in spark.read.parquet(f"{log}/batch={n}").collect()}
+
+    io.write_chunks(rows(("e", 0, "h"), ("e", 1, "h")), index)
+    sync_batch(rows(("d", 0, "h"), ("d", 1, "h"), ("d", 2, "h")), index, log, 0)
+    sync_batch(rows(("d", 3, "h")), index, log, 1)
+    assert len(held()) == 6 and logged(1) == {"d::3::0": "embed"}
+    before = held()
+    sync_batch(rows(("d", 3, "h")), index, log, 1)
+    assert held() == before and logged(1) == {"d::3::0": "embed"}
+    sync_batch(rows(("d", 0, "h2"), ("d", 1, "h"), ("d", 1, "h"), complete=True), index, log, 2)
+    assert logged(2) == {"d::0::0": "embed", "d::1::0": "skip", "d::2::0": "delete", "d::3::0": "delete"}
+    assert held() == [("d::0::0", "h2"), ("d::1::0", "h"), ("e::0::0", "h"), ("e::1::0", "h")]
+    sync_batch(rows(complete=True), index, log, 3)
+    assert len(held()) == 4 and logged(3) == {}
+
+
+def test_stream_of_files(spark, tmp_path):
     row = ("d::1::0", "d", "b", "laws", "all", "laws", "2026", 1, "1", "t", "p", 1, 1, 0, "h", "active", "text")
     index, log, ck, src = (str(tmp_path / n) for n in ("index", "log", "ck", "in"))
-    io.write_chunks(spark.createDataFrame([("e::1::0", "e", *row[2:])], CHUNKS), index)
     spark.createDataFrame([row], CHUNKS).write.parquet(src)
     start_sync(stream_chunks(spark, src, CHUNKS), index, log, ck).awaitTermination()
     spark.createDataFrame([(row[0], *row[1:14], "h2", *row[15:])], CHUNKS).select(CHUNK_COLUMNS).write.mode("append").parquet(src)
     start_sync(stream_chunks(spark, src, CHUNKS), index, log, ck).awaitTermination()
-    assert {(r.doc_id, r.content_hash) for r in io.read_chunks(spark, index).collect()} == {("e", "h"), ("d", "h2")}
+    assert [(r.doc_id, r.content_hash) for r in io.read_chunks(spark, index).collect()] == [("d", "h2")]
     assert [r.action for r in spark.read.parquet(log).orderBy("batch").collect()] == ["embed", "embed"]
 
 
