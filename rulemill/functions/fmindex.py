@@ -28,27 +28,44 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 class FmIndex:
-    """Index of many sequences. Symbols are 0 .. sigma-1; ``owner`` names the sequence of a text position.
+    """Compressed index of many sequences. Symbols are 0 .. sigma-1; rows are found by backward search.
 
-    The transform is kept as one sorted list of (symbol, row), gaps in rows being all that a
-    symbol's occurrences need; a rank is one binary search in it.
+    It keeps the transform as 32-bit symbols, the rows of each symbol in order (a rank is one binary
+    search among them), and of every SAMPLE-th place of the text the sequence it lies in; other rows
+    walk back to such a place. Neither the text nor its suffix array is kept.
     """
 
+    SAMPLE = 4
+
     def __init__(self, symbols: np.ndarray, offsets: np.ndarray, sigma: int):
         n_seq = len(offsets) - 1
         lengths = np.diff(offsets)
-        # a separator (0) goes after every sequence, symbols move up by one
-        text = np.zeros(len(symbols) + n_seq, dtype=np.int64)
-        place = np.arange(len(symbols)) + np.repeat(np.arange(n_seq), lengths)
-        text[place] = symbols + 1
-        self.owner = np.repeat(np.arange(n_seq), lengths + 1)
-        self.sa = suffix_array(text)
+        # a separator (0) goes before every sequence, symbols move up by one
+        text = np.zeros(len(symbols) + n_seq, dtype=np.int32)
+        text[np.arange(len(symbols)) + np.repeat(np.arange(n_seq), lengths) + 1] = symbols + 1
+        owner = np.repeat(np.arange(n_seq, dtype=np.int32), lengths + 1)
+        sa = suffix_array(text)
         self.n = len(text)
-        bwt = text[self.sa - 1] if self.n else text
+        self.bwt = text[sa - 1] if self.n else text
         self.first = np.zeros(sigma + 2, dtype=np.int64)
         np.cumsum(np.bincount(text, minlength=sigma + 1), out=self.first[1:])
-        order = np.argsort(bwt, kind="stable")
-        self.rows = bwt[order] * (self.n + 1) + order
+        self.rows = np.argsort(self.bwt, kind="stable").astype(np.int32)
+        # separators are places of the sample, so no walk leaves its sequence
+        kept = (sa % self.SAMPLE == 0) | (text[sa] == 0)
+        self.before = np.concatenate([[0], np.cumsum(kept, dtype=np.int32)]).astype(np.int32)
+        self.sample = owner[sa[kept]]
+
+    def _rank(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Place of the first row of ``symbol`` at or after ``row`` among all rows ordered by symbol."""
+        lo, hi = self.first[symbol].copy(), self.first[symbol + 1].copy()
+        while True:
+            open_ = lo < hi
+            if not open_.any():
+                return lo
+            mid = (lo + hi) >> 1
+            less = open_ & (self.rows[np.minimum(mid, self.n - 1)] < row)
+            lo = np.where(less, mid + 1, lo)
+            hi = np.where(open_ & ~less, mid, hi)
 
     def start(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row ranges of single symbols; negative symbols occur nowhere."""
@@ -60,30 +77,45 @@ class FmIndex:
         """One backward step: ranges of ``symbol`` followed by what the ranges stand for."""
         known = symbol >= 0
         s = np.where(known, symbol + 1, 0)
-        low = np.searchsorted(self.rows, s * (self.n + 1) + lo)
-        high = np.searchsorted(self.rows, s * (self.n + 1) + hi)
-        return np.where(known, low, 0), np.where(known, high, 0)
+        return np.where(known, self._rank(s, lo), 0), np.where(known, self._rank(s, hi), 0)
+
+    def maximal_matches(self, symbols: np.ndarray, ends: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All matches that end at the places ``ends`` of the patterns and cannot go further back.
 
-    def maximal_matches(self, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each position of the patterns: length and row range of the longest match that ends there."""
-        lo, hi = self.start(symbols)
-        length = (hi > lo).astype(np.int64)
-        begin = np.repeat(offsets[:-1], np.diff(offsets))
-        active = np.flatnonzero(hi > lo)
-        step = 1
-        while len(active):
-            active = active[active - step >= begin[active]]
-            a, b = self.extend(lo[active], hi[active], symbols[active - step])
-            on = b > a
-            active = active[on]
-            lo[active], hi[active] = a[on], b[on]
-            step += 1
-            length[active] = step
-        return length, lo, hi
+        ``begin`` is the first place of the pattern that each end belongs to. Returns for every match
+        the index of its end, the sequence it lies in, and its length. Each step of backward search
+        keeps of an end's rows those that the next symbol stands before; the others' matches stop there.
+        """
+        lo, hi = self.start(symbols[ends])
+        count = hi - lo
+        which = np.repeat(np.arange(len(ends)), count)
+        row = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + lo[which]
+        length = np.ones(len(which), dtype=np.int32)
+        found = which, self.locate(row), length
+        match, back = np.arange(len(which)), 1
+        while len(match):
+            on = ends[which] - back >= begin[which]
+            ahead = symbols[ends[which[on]] - back]
+            on[on] = (self.bwt[row[on]] == ahead + 1) & (ahead >= 0)
+            match, which = match[on], which[on]
+            if not len(match):
+                break
+            alive = np.unique(which)
+            # of one end all rows are one range, and a step keeps their order
+            lo[alive], hi[alive] = self.extend(lo[alive], hi[alive], symbols[ends[alive] - back])
+            size = np.bincount(which, minlength=len(ends))[alive]
+            row = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[alive], size)
+            length[match] += 1
+            back += 1
+        return found
 
-    def locate(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(index of the range, sequence)`` of every row of the ranges."""
-        count = np.maximum(hi - lo, 0)
-        which = np.repeat(np.arange(len(lo)), count)
-        row = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        return which, self.owner[self.sa[row]]
+    def locate(self, row: np.ndarray) -> np.ndarray:
+        """The sequence of every row: rows walk back to a place of the sample."""
+        out = np.full(len(row), -1, dtype=np.int64)
+        left, at = np.arange(len(row)), row.astype(np.int64)
+        while len(left):
+            kept = self.before[at + 1] > self.before[at]
+            out[left[kept]] = self.sample[self.before[at[kept]]]
+            left, at = left[~kept], at[~kept]
+            at = self._rank(self.bwt[at].astype(np.int64), at)
+        return out

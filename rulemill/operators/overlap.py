@@ -1,15 +1,17 @@
 """Same or near-same records across splits (problem 3).
 
 Records that may match agree on clause, competition and digit runs. Within that, a record is its
-words in a fixed order, rarest first, so that records with the same words in any order become
-the same sequence. Shards of evaluation sequences are put into a full-text index; training
-sequences stream through backward search. Seeds (the rarest words of a training record, enough
-that any match shares one) locate the evaluation records; their maximal matches are merged into
-a count of covered words, and an exact count of common words decides each pair.
+words in a fixed order, commonest first, the second of a word being another symbol than the first, so
+that records with the same words in any order become the same sequence. Shards of evaluation sequences
+are put into a compressed full-text index; training sequences stream through backward search. It
+starts at the rarest words of a training record, enough that any match shares one, and gives all
+maximal matches that end there. The matches of a pair of records are merged into spans and counted;
+where the count, with what lies before the spans, can reach the bound, the exact count decides.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -17,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulemill.functions.codepoints import mix64
 from rulemill.functions.fmindex import FmIndex
 from rulemill.functions.texts import clause_number
 from rulemill.session import cut, semi_join_sized, shuffle_partitions, table
@@ -47,24 +50,29 @@ def records(questions: DataFrame) -> DataFrame:
 
 
 def _symbols(keys: pd.Series, words: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of (key, word) for each word, with n+1 offsets and the owner of each."""
+    """Hash of (key, word, how often the word came before) for each of the sorted words, with n+1 offsets and the owner of each."""
     lengths = words.map(len).to_numpy(dtype=np.int64)
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     owner = np.repeat(np.arange(len(words)), lengths)
     flat = pd.Series([w for ws in words for w in ws], dtype=object)
+    h = pd.util.hash_array(flat.to_numpy())
+    fresh = np.ones(len(h), dtype=bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    place = np.arange(len(h))
+    again = place - np.maximum.accumulate(np.where(fresh, place, 0))
     with np.errstate(over="ignore"):
-        h = pd.util.hash_array(flat.to_numpy()) * np.uint64(31) + pd.util.hash_array(keys.to_numpy(dtype=object))[owner]
+        h = mix64(h + again.astype(np.uint64)) * np.uint64(31) + pd.util.hash_array(keys.to_numpy(dtype=object))[owner]
     return h, offsets, owner
 
 
 def _cuts(sizes: np.ndarray) -> np.ndarray:
-    """Edges of runs of ranges with about ``LOCATE`` rows each."""
+    """Edges of runs of records with about ``LOCATE`` rows each."""
     return np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(sizes) // LOCATE)) + 1, [len(sizes)]]).astype(np.int64)
 
 
 def match_shard(left: pd.DataFrame, right: pd.DataFrame, share: float = OVERLAP) -> pd.DataFrame:
-    """Class pairs ``train_cid, eval_cid, covered, common`` of one shard."""
-    none = pd.DataFrame({"train_cid": pd.Series(dtype="int64"), "eval_cid": pd.Series(dtype="int64"), "covered": pd.Series(dtype="int32"), "common": pd.Series(dtype="int32")})
+    """Class pairs ``train_cid, eval_cid, common`` of one shard."""
+    none = pd.DataFrame({"train_cid": pd.Series(dtype="int64"), "eval_cid": pd.Series(dtype="int64"), "common": pd.Series(dtype="int32")})
     if left.empty or right.empty:  # a side without rows comes without columns
         return none
     both = set(left["key"]) & set(right["key"])
@@ -74,90 +82,69 @@ def match_shard(left: pd.DataFrame, right: pd.DataFrame, share: float = OVERLAP)
     eh, eo, e_owner = _symbols(right["key"], right["words"])
     symbol, ids, counts = np.unique(eh, return_inverse=True, return_counts=True)
     rank = np.empty(len(symbol), dtype=np.int64)
-    rank[np.lexsort((symbol, counts))] = np.arange(len(symbol))  # rarest first
+    rank[np.lexsort((symbol, -counts))] = np.arange(len(symbol))  # rarest last, as a search begins at the end
     es = rank[ids]
     es = es[np.lexsort((es, e_owner))]
     index = FmIndex(es, eo, len(symbol))
     th, to, t_owner = _symbols(left["key"], left["words"])
     at = np.minimum(np.searchsorted(symbol, th), len(symbol) - 1)
-    ts = np.where(symbol[at] == th, rank[at], -1)
+    ts = np.where(symbol[at] == th, rank[at], len(symbol))
     ts = ts[np.lexsort((ts, t_owner))]
+    ts = np.where(ts < len(symbol), ts, -1)  # what no evaluation record has is the rarest
     # words in common are at least `least` of a training record's words, whatever the other's length
-    n = np.diff(to)
+    n, m = np.diff(to), np.diff(eo)
     least = np.ceil(n * share / (2 - share) * (1 - 1e-12)).astype(np.int64)
-    place = np.arange(len(ts)) - to[:-1][t_owner]
-    seeds = np.flatnonzero((place <= (n - least)[t_owner]) & (ts >= 0))
-    length, m_lo, m_hi = index.maximal_matches(ts, to)
+    from_end = to[1:][t_owner] - 1 - np.arange(len(ts))
+    seeds = np.flatnonzero((from_end <= (n - least)[t_owner]) & (ts >= 0))
     lo, hi = index.start(ts[seeds])
-    cuts = _cuts(hi - lo)
-    out = []
-    m = np.diff(eo)
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        which, seq = index.locate(lo[a:b], hi[a:b])
-        train = t_owner[seeds[a:b][which]]
-        ok = (n[train] * share <= (2 - share) * m[seq] + 1e-9) & (m[seq] * share <= (2 - share) * n[train] + 1e-9)
-        if ok.any():
-            out.append(np.unique(train[ok] * len(m) + seq[ok]))
-    if not out:
-        return none
-    pair = np.unique(np.concatenate(out))
-    train, seq = pair // len(m), pair % len(m)
-    # merged maximal matches: training positions covered by a match that lies in the evaluation record
-    covered = _covered(index, length, m_lo, m_hi, to, t_owner, train, pair, len(m))
-    common = _common(ts, to, es, eo, train, seq)
-    ok = 2 * common >= share * (n[train] + m[seq]) - 1e-9
-    return pd.DataFrame({"train_cid": left["cid"].to_numpy()[train[ok]], "eval_cid": right["cid"].to_numpy()[seq[ok]], "covered": covered[ok].astype(np.int32), "common": common[ok].astype(np.int32)})
-
-
-def _covered(index, length, lo, hi, offsets, owner, train, pair, width) -> np.ndarray:
-    """Words of each pair's training record that its maximal matches cover, merged where they overlap."""
-    wanted = np.zeros(len(offsets) - 1, dtype=bool)
-    wanted[train] = True
-    # a match that the next position extends is part of that one
-    ends = np.flatnonzero((length > 0) & wanted[owner])
-    inner = ends[ends + 1 < len(length)]
-    longer = np.zeros(len(length), dtype=bool)
-    longer[inner] = (length[inner + 1] == length[inner] + 1) & (hi[inner + 1] - lo[inner + 1] == hi[inner] - lo[inner]) & (owner[inner + 1] == owner[inner])
-    ends = ends[~longer[ends]]
-    total = np.zeros(len(pair), dtype=np.int64)
-    starts: list[np.ndarray] = []
-    cuts = _cuts(hi[ends] - lo[ends])
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        e = ends[a:b]
-        which, seq = index.locate(lo[e], hi[e])
-        key = owner[e[which]] * width + seq
-        spot = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
-        ok = pair[spot] == key
-        starts.append(np.stack([spot[ok], e[which][ok] - length[e[which][ok]] + 1, e[which][ok] + 1], axis=1))
-    if starts:
-        spans = np.unique(np.concatenate(starts), axis=0)
-        if len(spans):
-            size = 1 + int(spans[:, 2].max())
-            top = np.maximum.accumulate(spans[:, 0] * size + spans[:, 2])  # furthest end so far, by pair
-            before = np.concatenate([[-1], top[:-1]])
-            reached = np.where(before // size == spans[:, 0], before % size, 0)
-            total += np.bincount(spans[:, 0], weights=np.maximum(0, spans[:, 2] - np.maximum(spans[:, 1], reached)), minlength=len(pair)).astype(np.int64)
-    return total
+    per_record = np.bincount(t_owner[seeds], weights=hi - lo, minlength=len(n)).astype(np.int64)
+    out = [none]
+    for a, b in itertools.pairwise(_cuts(per_record)):  # training records stream through the index
+        s = seeds[(t_owner[seeds] >= a) & (t_owner[seeds] < b)]
+        end, seq, length = index.maximal_matches(ts, s, to[:-1][t_owner[s]])
+        train = t_owner[s[end]]
+        fits = (n[train] * share <= (2 - share) * m[seq] + 1e-9) & (m[seq] * share <= (2 - share) * n[train] + 1e-9)
+        end, seq, length, train = end[fits], seq[fits], length[fits], train[fits]
+        if not len(end):
+            continue
+        pair, covered, first = merged_spans(train * len(m) + seq, s[end] - length + 1, s[end] + 1)
+        train, seq = pair // len(m), pair % len(m)
+        # words before the first seed that no span covers may all be common, no more
+        open_words = np.minimum(to[:-1][train] + least[train] - 1, first) - to[:-1][train]
+        near = 2 * (covered + np.maximum(open_words, 0)) >= share * (n[train] + m[seq]) - 1e-9
+        train, seq = train[near], seq[near]
+        common = _common(ts, to, es, eo, train, seq)
+        ok = 2 * common >= share * (n[train] + m[seq]) - 1e-9
+        out.append(pd.DataFrame({"train_cid": left["cid"].to_numpy()[train[ok]], "eval_cid": right["cid"].to_numpy()[seq[ok]], "common": common[ok].astype(np.int32)}))
+    return pd.concat(out, ignore_index=True) if len(out) > 1 else none
+
+
+def merged_spans(pair: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair: the places that its spans cover, each counted once, and where the first span starts."""
+    order = np.lexsort((stop, start, pair))
+    pair, start, stop = pair[order], start[order], stop[order]
+    names, at = np.unique(pair, return_index=True)
+    number = np.repeat(np.arange(len(names)), np.diff(np.append(at, len(pair))))
+    size = 1 + int(stop.max())
+    top = np.maximum.accumulate(number * size + stop)  # furthest end so far, by pair
+    before = np.concatenate([[-1], top[:-1]])
+    reached = np.where(before // size == number, before % size, 0)
+    return names, np.bincount(number, weights=np.maximum(0, stop - np.maximum(start, reached))).astype(np.int64), start[at]
 
 
 def _common(ts, to, es, eo, train, seq) -> np.ndarray:
-    """Words in common, repeats counted, of each pair of sequences."""
+    """Symbols in common of each pair of sequences; a symbol comes once in a sequence."""
     out = np.zeros(len(train), dtype=np.int64)
     for a in range(0, len(train), 50_000):
-        t, e = train[a : a + 50_000], seq[a : a + 50_000]
-        side = []
-        for s, o, x in ((ts, to, t), (es, eo, e)):
+        codes = []
+        for s, o, x in ((ts, to, train[a : a + 50_000]), (es, eo, seq[a : a + 50_000])):
             size = o[x + 1] - o[x]
             who = np.repeat(np.arange(len(x)), size)
             v = s[np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(o[x], size)]
-            side.append((who, v))
-        keep = side[0][1] >= 0
-        who = np.concatenate([side[0][0][keep], side[1][0]])
-        v = np.concatenate([side[0][1][keep], side[1][1]])
-        which = np.concatenate([np.zeros(int(keep.sum()), dtype=np.int64), np.ones(len(side[1][0]), dtype=np.int64)])
-        code, inv = np.unique(who * (int(v.max(initial=0)) + 1) + v, return_inverse=True)
-        left, right = np.bincount(inv[which == 0], minlength=len(code)), np.bincount(inv[which == 1], minlength=len(code))
-        out[a : a + 50_000] = np.bincount(code // (int(v.max(initial=0)) + 1), weights=np.minimum(left, right), minlength=len(t))
+            codes.append((who[v >= 0] << 32) | v[v >= 0])
+        both = np.sort(np.concatenate(codes))
+        n = len(train[a : a + 50_000])
+        out[a : a + n] = np.bincount(both[1:][both[1:] == both[:-1]] >> 32, minlength=n)
     return out
 
 
@@ -169,7 +156,7 @@ def on_both_sides(rows: DataFrame) -> DataFrame:
 
 
 def overlapping_classes(rows: DataFrame, share: float = OVERLAP) -> DataFrame:
-    """``train_cid, eval_cid, covered, common`` of all matching classes of records, equal ones included.
+    """``train_cid, eval_cid, common`` of all matching classes of records, equal ones included.
 
     Classes of one key go to one bucket; a bucket above the shard sizes becomes a grid of
     (evaluation shard, training shard) tasks, so a key that holds a third of all rows is spread.
@@ -190,7 +177,7 @@ def overlapping_classes(rows: DataFrame, share: float = OVERLAP) -> DataFrame:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return match_shard(left.rename(columns=lambda c: c[2:]), right.rename(columns=lambda c: c[2:]), share)
 
-    return sides[0].cogroup(sides[1]).applyInPandas(run, "train_cid bigint, eval_cid bigint, covered int, common int")
+    return sides[0].cogroup(sides[1]).applyInPandas(run, "train_cid bigint, eval_cid bigint, common int")
 
 
 def cross_split_pairs(questions: DataFrame, share: float = OVERLAP) -> DataFrame:

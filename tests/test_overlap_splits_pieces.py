@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -27,14 +28,31 @@ def test_suffix_array(text):
 def test_maximal_matches(texts, pattern):
     flat = np.array([x for t in texts for x in t])
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    index = FmIndex(flat, offsets, 5)
-    length, lo, hi = index.maximal_matches(np.array(pattern), np.array([0, len(pattern)]))
-    has = lambda p: {i for i, t in enumerate(texts) for k in range(len(t)) if t[k : k + len(p)] == p}
+    ends = np.arange(len(pattern))
+    which, seq, length = FmIndex(flat, offsets, 5).maximal_matches(np.array(pattern), ends, np.zeros(len(ends), dtype=np.int64))
+    expect = []
     for e in range(len(pattern)):
-        best = max((n for n in range(1, e + 2) if -1 not in pattern[e - n + 1 : e + 1] and has(pattern[e - n + 1 : e + 1])), default=0)
-        assert length[e] == best
-        if best:
-            assert set(index.locate(lo[e : e + 1], hi[e : e + 1])[1].tolist()) == has(pattern[e - best + 1 : e + 1])
+        for i, t in enumerate(texts):
+            for k in range(len(t)):
+                n = 0
+                while n <= min(e, k) and pattern[e - n] == t[k - n]:
+                    n += 1
+                if n:
+                    expect.append((e, i, n))
+    assert sorted(zip(which.tolist(), seq.tolist(), length.tolist())) == sorted(expect)
+
+
+def test_pairs_come_from_matches_and_spans(monkeypatch):
+    """Without matches there are no pairs, and merged spans count every word of a pair once."""
+    words = [["a", "b", "c", "d"], ["a", "a", "b", "x"], ["p", "q"]]
+    side = lambda o: pd.DataFrame({"key": ["k"] * 3, "words": words, "cid": [o, o + 1, o + 2]})
+    got = overlap.match_shard(side(0), side(10))
+    assert set(zip(got["train_cid"], got["eval_cid"], got["common"])) == {(0, 10, 4), (1, 11, 4), (2, 12, 2)}
+    pair, covered, first = overlap.merged_spans(np.array([1, 1, 1, 0]), np.array([2, 0, 6, 5]), np.array([5, 3, 8, 6]))
+    assert pair.tolist() == [0, 1] and covered.tolist() == [1, 7] and first.tolist() == [5, 0]
+    nothing = np.zeros(0, dtype=np.int64)
+    monkeypatch.setattr(FmIndex, "maximal_matches", lambda *a: (nothing, nothing, nothing))
+    assert overlap.match_shard(side(0), side(10)).empty
 
 
 def brute_overlap(rows):
