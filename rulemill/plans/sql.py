@@ -235,4 +235,6 @@ SELECT competition, gender, CASE WHEN name IS NOT NULL AND competition <> 'ipl'
     "p3_report": f"{_OVERLAP} SELECT eval_split, eval_source, count(DISTINCT (train_qid, eval_qid)) AS n_pairs, count(DISTINCT eval_qid) AS n_eval, count(DISTINCT train_qid) AS n_train FROM pairs GROUP BY ALL",
     "p4_found": f"{_TIES} SELECT DISTINCT a AS doc_id_a, b AS doc_id_b FROM reach WHERE a < b",
     "p5_found": f"SELECT DISTINCT chunk_id FROM (SELECT chunk_id, {_PASSAGE} AS p FROM chunks) WHERE length({_STRIP.format('p')}) > 1500",
+    "p5_rejoined": rf"""SELECT chunk_id, md5(regexp_replace(p, '[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+', '', 'g')) AS md5, 0::BIGINT AS n_over, page_start, page_end
+        FROM (SELECT DISTINCT chunk_id, page_start, page_end, {_PASSAGE} AS p FROM chunks) WHERE length({_STRIP.format("p")}) > 1500""",
 }

@@ -167,6 +167,22 @@ def test_pieces_cover_and_fit(text, limit, overlap_size):
     assert not text[at:].strip()
 
 
+def test_pieces_follow_the_tree():
+    def section(mark, n):
+        return f"{mark}\n\n" + " ".join(f"Sentence {k} of {mark.split()[-1]} is here." for k in range(n)) + "\n\n"
+
+    text = "# A\n\n" + section("## A1", 14) + section("## A2", 14) + "# B\n\n" + section("## B1", 14) + section("## B2", 14)
+    assert [text[own:].split("\n")[0] for _, _, own in splitting.split_text(text, 1_200, 0)] == ["# A", "# B"]
+    # only the chapter that is too long opens, at its own sections
+    text = "# A\n\n" + section("## A1", 25) + section("## A2", 25) + "# B\n\n" + section("## B1", 14)
+    assert [text[own:].split("\n")[0] for _, _, own in splitting.split_text(text, 1_200, 0)] == ["# A", "## A2", "# B"]
+    # items of the inner list stay with their outer item
+    items = "".join(f"{i}. Outer item number {i}.\n" + "".join(f"   ({c}) inner part {c} of item {i}\n" for c in "abcd") for i in range(1, 5))
+    assert all(items[own:].startswith(f"{n}.") for n, (_, _, own) in zip((1, 3), splitting.split_text(items, 300, 0), strict=True))
+    places, depths = splitting.boundaries("Intro:\n1. one\n(a) x\n(i) deep\n(ii) deep\n(b) y\n2. two\n\nText.\n")
+    assert depths == [40, 21, 22, 23, 23, 22, 21, 10]
+
+
 def test_pieces_cut_at_boundaries(spark):
     body = "\n\n".join(f"LAW {i} TITLE\n" + " ".join(f"Sentence {k} of law {i} is here." for k in range(12)) for i in range(1, 9))
     for start, _, own in splitting.split_text(body, 600, 60):
