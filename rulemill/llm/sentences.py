@@ -2,14 +2,18 @@
 
 Every text is cut at blank lines into units. In a unit, marks that may end a sentence form a
 lattice of edges: a quotation or bracket is one edge that no boundary may cross, and each
-terminator is a gap that the words on its two sides open or close. Scripts without blanks
-(Chinese, Japanese, Thai) are segmented around a gap by the best path through a lattice of
-dictionary words; the last word before and the first words after the gap decide it.
+terminator is a gap that the words on its two sides open or close. Stretches of scripts without blanks
+(Chinese, Japanese, Thai) are segmented whole by the best path through a lattice of dictionary words,
+those of a public tokenizer's vocabulary and the particles and opening words below. Their gaps are
+classified by the words of the path: a final particle before and an opening word after end a sentence,
+with or without a mark; a word of saying or of linking after a mark goes on.
 """
 
 from __future__ import annotations
 
+import base64
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +38,17 @@ COMPANY = ("Ltd", "Inc", "Corp", "KG", "GmbH")
 #: Dictionary for lattices: verbs of saying and words that link to what stands before, by script.
 SAYING = ("说", "道", "问", "喊", "表示", "写道", "回答", "説", "問")
 LINKING = {"zh": ("也", "但", "而", "却", "并", "就"), "ja": ("と", "って", "という", "との", "とは"), "hi": ("ऐसा", "यह", "कहकर", "ऐसे")}
-FINAL_PARTICLES = ("吗", "呢", "吧", "啊", "了", "呀", "か", "ね", "よ", "ぞ", "だ", "です", "ます")
-OPENING = ("如果", "因为", "当", "在", "即使", "虽然", "但是", "所以", "双方", "第", "もし", "しかし", "そして", "また", "แม้ว่า", "หลังจาก", "ถ้า", "ก่อน", "ขณะที่", "เพราะ", "เมื่อ")
+#: Particles that close a sentence before any opening word, and those that do so only before a strong one or a blank.
+FINAL_PARTICLES = ("吗", "呢", "吧", "嗎", "啊", "呀", "嘛", "です", "ます", "でした", "ました", "ません", "ですか", "ますか", "ですね", "ますね", "ですよ", "ますよ", "ครับ", "ค่ะ", "นะคะ", "นะครับ")
+WEAK_PARTICLES = ("了", "だ", "だった", "か", "ね", "よ", "ぞ")
+#: Words that open a sentence; the weak ones do so only after a particle that is not weak.
+OPENING = ("如果", "因为", "因為", "即使", "虽然", "雖然", "但是", "所以", "不过", "然后", "もし", "しかし", "そして", "だから", "それで", "แม้ว่า", "หลังจาก", "ถ้า", "ก่อน", "ขณะที่", "เพราะ", "เมื่อ", "แต่")
+WEAK_OPENING = ("我们", "我們", "我", "你们", "你", "他们", "他", "她", "双方", "今天", "明天", "现在", "また", "でも", "私", "彼", "今日", "明日")
+#: Words that end in a particle's or a saying verb's letters and are neither.
+WHOLE_WORDS = ("酒吧", "网吧", "知道", "街道", "味道", "报道", "報道", "跑道", "难道", "小说", "听说", "传说", "据说", "学问", "疑问", "访问", "提问", "かもしれない", "かもしれません")
+
+#: The public vocabulary that lattices take words from.
+LATTICE_VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 END = ".!?…。！？؟।॥．｡"
 CLOSERS = "\"'”’»)]}」』）】〉》"
@@ -43,20 +56,28 @@ OPENERS = "\"'“‘«([{「『（【〈《„¿¡"
 BLANK_LINE = re.compile(r"\n\s*\n")
 THAI = re.compile(r"[฀-๿]")
 THAI_GAP = re.compile(r"\s+")
+#: Every branch begins with a literal, which the search runs to: closed quotations and brackets, then runs of marks (no decimal point).
+_RUN = r"(?:\.(?:(?!\d)|(?<!\d\.))|[!?…。！？؟।॥．｡])*"
 MARKS = re.compile(
-    r"(?P<whole>“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|『[^』]*』|\([^()]*\)|\[[^\[\]]*\]|（[^（）]*）|\"[^\"]*\"|‘(?:[^’]|’(?=\w))*’)"
-    r"|(?:(?<!\d)\.|\.(?!\d)|[!?…。！？؟।॥．｡])+"
-)
-WORD_BEFORE = re.compile(r"[^\s(\[{“‘«\"'„¿¡/,;:’”–—]*$")
+    r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|『[^』]*』|\([^()]*\)|\[[^\[\]]*\]|（[^（）]*）|\"[^\"]*\"|‘(?:[^’]|’(?=\w))*’|"
+    + r"\.(?:(?!\d)|(?<!\d\.))" + _RUN + "".join(f"|{re.escape(c)}{_RUN}" for c in "!?…。！？؟।॥．｡")
+)
+WHOLE = frozenset("“„«「『([（\"‘")
+#: Endings of file names; a period before them is part of the name.
+FILE_ENDINGS = frozenset("docx pdf xlsx csv txt json xml html htm pptx png jpg jpeg gif mp3 mp4 zip".split())
+NO_WORD = frozenset("([{“‘«\"'„¿¡/,;:’”–—")
 FIRST_WORD = re.compile(r"\w+")
 LIST_MARK = re.compile(r"\s*(?:\(?\d{1,3}|\(?[A-Za-z])$")
 CJK = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]")
 STRAY = re.compile(r"(?:[^\w\s!-/:-@\[-`{-~।॥،؛“”‘’«»„…]|[½¼¾²³]|<[^<>]{1,20}>)+(?=\s)")
 PLAIN_END = frozenset("!?؟।॥")
+CLAUSE_MARK = re.compile("[，、；：,;:]")
+#: Words before a period that any other rule may have a say on.
+RULED = NEVER_FINAL | BEFORE_NUMBER | MAY_END
 
 
 class WordLattice:
-    """Best path of dictionary words through a short text without blanks.
+    """Best path of dictionary words through a text without blanks.
 
     Each dictionary word costs 1, an unknown character 1.6; the cheapest path wins, longer
     words first among equals.
@@ -83,7 +104,62 @@ class WordLattice:
         return out[::-1]
 
 
-LATTICE = WordLattice([*SAYING, *FINAL_PARTICLES, *OPENING, *(w for x in LINKING.values() for w in x)])
+LISTED = (*SAYING, *FINAL_PARTICLES, *WEAK_PARTICLES, *OPENING, *WEAK_OPENING, *WHOLE_WORDS, *(w for x in LINKING.values() for w in x))
+#: Tokens of two letters and more of a script without blanks; those of Thai begin and end like words.
+SPACELESS = re.compile(r"[぀-ヿ㐀-鿿]{2,}|[เ-ไก-ฮ][฀-๿]+[^เ-ไ]")
+SPACELESS_STRETCH = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ฀-๿]+")
+_ENDS_IN_PARTICLE = re.compile("(?:" + "|".join(sorted((*FINAL_PARTICLES, *WEAK_PARTICLES, *SAYING), key=len, reverse=True)) + ")$")
+
+
+def dictionary(path: str = LATTICE_VOCABULARY) -> frozenset[str]:
+    """Words of a lattice: those listed here, and the tokens of a public vocabulary that look like words.
+
+    A token that ends in a particle or a verb of saying would hide it, so it is left out.
+    """
+    out = set(LISTED)
+    for line in open(path, "rb"):
+        token = base64.b64decode(line.split()[0]).decode("utf-8", "ignore").strip()
+        if SPACELESS.fullmatch(token) and not _ENDS_IN_PARTICLE.search(token):
+            out.add(token)
+    return frozenset(out)
+
+
+@lru_cache(maxsize=1)
+def _own_lattice() -> WordLattice:
+    return WordLattice(dictionary())
+
+
+_SENT: list[WordLattice] = []
+
+
+def lattice() -> WordLattice:
+    """The lattice that the driver sent to this worker, else that of the usual vocabulary."""
+    return _SENT[0] if _SENT else _own_lattice()
+
+
+_CLOSING = sorted((*FINAL_PARTICLES, *WEAK_PARTICLES), key=len, reverse=True)
+_STARTING = sorted((*OPENING, *WEAK_OPENING), key=len, reverse=True)
+#: Where a gap may be: what is found is then read off the path.
+GAP = re.compile(f"(?:{'|'.join(_CLOSING)})\\s*(?:{'|'.join(_STARTING)})")
+
+
+def _particle_ends(unit: str) -> list[int]:
+    """Gaps without a mark that a final particle closes and an opening word opens, in scripts without blanks."""
+    out, words = [], []
+    for m in SPACELESS_STRETCH.finditer(unit):
+        at = m.start()
+        for w in lattice().segment(m.group()):
+            words.append((at, at + len(w), w))
+            at += len(w)
+    for (_, e, w), (a, _, following) in zip(words[:-1], words[1:]):
+        blank = a > e
+        if blank and unit[e:a].strip():
+            continue
+        strong, weak = w in FINAL_PARTICLES, w in WEAK_PARTICLES
+        opens, may_open = following in OPENING, following in WEAK_OPENING
+        if (strong and (opens or may_open)) or (weak and blank and (opens or may_open)) or (w == "了" and opens):
+            out.append(e)
+    return out
 
 
 def _opens(unit: str, at: int, n: int) -> int:
@@ -132,13 +208,8 @@ def _whole_ends(unit: str, m: re.Match, n: int) -> int:
     if CJK.match(c):
         if opened in "（([":
             return k
-        ahead = _stretch(unit, rest)
-        path = LATTICE.segment(ahead[:3]) if ahead else []
-        if path and path[0] in LINKING["ja"]:
-            return -1
-        if len(ahead) <= 24 and ahead and LATTICE.segment(ahead[-3:])[-1] in SAYING:
-            return -1
-        return k
+        path = lattice().segment(_stretch(unit, rest))
+        return -1 if path and (path[0] in LINKING["ja"] or path[-1] in SAYING) else k
     first = FIRST_WORD.match(unit, rest)
     if first and any(unit.startswith(w, rest) for w in LINKING["hi"]):
         return -1
@@ -147,9 +218,17 @@ def _whole_ends(unit: str, m: re.Match, n: int) -> int:
     return k if _opens(unit, rest, n) else -1
 
 
+def _word_before(unit: str, at: int) -> str:
+    """What stands before a period without a blank, bracket, quote or dash in it."""
+    start = at
+    while start and unit[start - 1] not in NO_WORD and not unit[start - 1].isspace():
+        start -= 1
+    return unit[start:at]
+
+
 def _period(unit: str, at: int, e: int, n: int) -> bool:
     """Whether the single period at ``at`` ends a sentence; ``e`` is past it and its closers."""
-    before = WORD_BEFORE.search(unit, max(0, at - 40), at).group()
+    before = _word_before(unit, at)
     tail = before.rpartition(".")[2]
     if tail.casefold() in NEVER_FINAL and len(before) - len(tail) > 3 and before[-len(tail) - 2 : -len(tail) - 1].islower():
         before = tail  # the blank after the sentence before is missing
@@ -167,6 +246,8 @@ def _period(unit: str, at: int, e: int, n: int) -> bool:
             return False
         if "@" in before or "_" in before or before.startswith(("www.", "http")):
             return False
+        if FIRST_WORD.match(unit, e).group().casefold() in FILE_ENDINGS:
+            return False
         if key in ("a.m", "p.m", "ltd", "inc", "etc", "jr") and c.isupper() and e + 1 < n and unit[e + 1].islower():
             return True
         if len(before) < 2 or key in NEVER_FINAL or key in MAY_END or key in BEFORE_NUMBER or "." in before.strip("0123456789."):
@@ -211,13 +292,18 @@ def _unit_ends(unit: str) -> list[int]:
     """Ends of the sentences of one unit, without the last."""
     n, ends = len(unit), []
     for m in MARKS.finditer(unit):
-        if m.lastgroup:
+        a, e = m.span()
+        if unit[a] in WHOLE:
             e = _whole_ends(unit, m, n)
             if e >= 0:
                 ends.append(e)
             continue
-        a, e = m.span()
         marks = unit[a:e]
+        if marks == "." and e + 1 < n and unit[e] == " " and unit[e + 1].isupper():
+            word = unit[unit.rfind(" ", 0, a) + 1 : a]
+            if len(word) > 1 and word.isalpha() and word.islower() and word not in RULED:
+                ends.append(e)  # what _period says of such a word, at once
+                continue
         while e < n and unit[e] in CLOSERS and not (unit[e] in "\"'" and e + 1 < n and not unit[e + 1].isspace()):
             e += 1
         if marks == ".":
@@ -239,7 +325,7 @@ def _unit_ends(unit: str) -> list[int]:
                 if _opens(unit, e, n):
                     ends.append(e)
             elif CJK.match(unit[rest]):
-                path = LATTICE.segment(_stretch(unit, rest)[:24])
+                path = lattice().segment(CLAUSE_MARK.split(_stretch(unit, rest))[0])
                 if not any(w in LINKING["zh"] for w in path):
                     ends.append(e)
             elif _opens(unit, e, n) in (1, 2, 3) and not (a and unit[a - 1].isspace() and _opens(unit, e, n) == 3):
@@ -273,6 +359,8 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
         ends = _unit_ends(unit)
         if THAI.search(unit):
             ends = sorted({*ends, *_thai_ends(unit)})
+        if GAP.search(unit):
+            ends = sorted({*ends, *_particle_ends(unit)})
         at = 0
         for e in (*ends, len(unit)):
             if e <= at:
@@ -287,25 +375,32 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def _split(batches):
-    for batch in batches:
-        ids, spans = [], []
-        for k, text in enumerate(batch.column(1).to_pylist()):
-            found = sentence_spans(text)
-            ids.append(len(found))
-            spans.extend(found)
-        owner = np.repeat(np.arange(len(ids)), ids)
-        pos = np.array(spans, dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(pos[:, 0]), pa.array(pos[:, 1])], names=["key", "start_pos", "end_pos"])
-
-
-def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+class Split:
+    def __init__(self, words):
+        self.words = words
+
+    def __call__(self, batches):
+        _SENT[:] = [WordLattice(self.words.value)]
+        for batch in batches:
+            counts, spans = [], []
+            for text in batch.column(1).to_pylist():
+                found = sentence_spans(text)
+                counts.append(len(found))
+                spans.extend(found)
+            owner = np.repeat(np.arange(len(counts)), counts)
+            pos = np.array(spans, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(pos[:, 0]), pa.array(pos[:, 1])], names=["key", "start_pos", "end_pos"])
+
+
+def split_sentences(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = LATTICE_VOCABULARY) -> DataFrame:
     """``key, start_pos, end_pos``, one row per sentence of each row's text.
 
     One scan, no shuffle. Null, empty and blank texts have no row; a text without any end mark
     is one sentence per unit; repeated rows and null keys give their own rows; other columns are
-    not read, whatever their names.
+    not read, whatever their names. The words of lattices are read from ``vocabulary`` on the driver
+    and broadcast: a fixed few hundred.
     """
+    words = df.sparkSession.sparkContext.broadcast(dictionary(vocabulary))
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(_split, f"key {kind}, start_pos bigint, end_pos bigint")
+    out = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(Split(words), f"key {kind}, start_pos bigint, end_pos bigint")
     return out.withColumnRenamed("key", key)

@@ -90,7 +90,29 @@ def test_scripts_without_blanks():
     ja = ["得点率は1.94だった。", "「権利を失う。」と主審は言った。", "（第18.9条を見よ。）", "残るのか？"]
     assert parts("".join(ja)) == ja
     assert parts("ผู้ตัดสินหลักนับใหม่ภายใน 26 นาที  ฝ่ายตั้งรับขอเปลี่ยนลูก") == ["ผู้ตัดสินหลักนับใหม่ภายใน 26 นาที", "ฝ่ายตั้งรับขอเปลี่ยนลูก"]
-    assert sentences.LATTICE.segment("守门员也同意")[-3:] == ["也", "同", "意"]
+    assert "也" in sentences.lattice().segment("守门员也同意") and "酒吧" in sentences.lattice().segment("我在酒吧喝水")
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        ["今天比赛开始了吗", "我们去看吧", "如果下雨就不去"],
+        ["今天开始了", "我们去看。"],
+        ["我们在酒吧我们喝水。"],
+        ["試合は始まりますか", "もし雨なら中止です"],
+        ["あれは雨かもしれない。", "終わり。"],
+        ["กรรมการมาแล้วครับ", "ถ้าฝนตกการแข่งขันจะหยุด"],
+        ["“我知道。”他的朋友们和所有在场的观众都在比赛结束以后一起大声地对裁判委员会说。"],
+    ],
+)
+def test_gaps_by_particles_and_opening_words(text):
+    joined = "".join(text)
+    joined = joined.replace("开始了我们", "开始了 我们")
+    assert parts(joined) == text
+
+
+def test_file_names_stay_whole():
+    assert parts("Open the file Report.Docx now. It ends.The next.") == ["Open the file Report.Docx now.", "It ends.", "The next."]
 
 
 def test_units_and_missing_blanks():
