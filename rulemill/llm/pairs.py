@@ -3,13 +3,14 @@
 A linear classifier with one output per defect reads hashed n-grams of the passage, hashed
 n-grams of its tail, and features of the pair. It is trained on the driver on a bounded sample
 of pairs and on defects made from it: truncated, copied, swapped (another language), refused
-and emptied passages. Thresholds are calibrated on a held-out part. Every pair of the table is
-then scored, and an exact check of the pair follows each decision.
+and emptied passages. Thresholds and slopes are calibrated on a held-out part. Every pair of the table is
+then scored; the outputs alone decide.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from dataclasses import dataclass
 
@@ -33,8 +34,6 @@ ROUNDS = 60
 #: Rounds of the first fit, which only finds defects in the sample.
 FIRST_ROUNDS = 25
 DECAY = 1e-5
-#: F1 given up at most for a lower threshold; an exact check follows each decision.
-SLACK = np.array([0.005, 0.0, 0.01, 0.02, 0.03])
 
 # -- Fixed values for made defects.
 STAND_INS = ("", " ", "-", "--", "---", "...", "…", "?", "*", "n/a", "N/A", "N/A.", "na", "none", "None", "null", "NULL", "nil", "nan", "TBD", "TBA", "tbc", "to be confirmed", "to follow", "[blank]", "(blank)", "(empty)", "[no text]", "no text", "no content", "not available", "missing", "unknown", "undefined", "pending", "x", "\n\n", "\t", "​", " ", "[removed]", "(none)", "void", "no data", "<empty>", "#N/A")
@@ -54,21 +53,27 @@ FOREIGN = {
     "th": "กัปตันต้องรายงานการตัดสินก่อนพัก หลังฝนหยุดกรรมการสั่งให้เก็บผ้าคลุม และการแข่งขันเริ่มใหม่ทันทีขณะที่ผู้ชมรออยู่",
     "en": "The captain must report the decision before the interval. After the rain the umpire shall have the covers removed, and play is resumed without further delay while the spectators are waiting in the stands.",
 }
-#: Parts of plain sound pairs that join a sample of fewer than FEW_PAIRS pairs.
+#: Parts of the PLAIN_PAIRS plain sound pairs that join every sample.
 WHO = ("the captain", "the umpire", "a fielder", "the scorer", "the host board", "each team", "the runner", "the reserve official")
 DOES = ("report the decision", "ask for a review", "leave the field", "sign the log", "return to the crease", "wait behind the line", "call the over", "inspect the ground")
 WHEN = ("before the interval", "after the over is called", "when both captains agree", "if the light fades", "once play is resumed", "at the end of the session", "in front of the players", "during the same over")
-FEW_PAIRS = 200
+PLAIN_PAIRS = 200
 FINAL = ".!?。！？؟।॥"
 CLOSERS = "\"'”’»)]}」』）】*_"
 SENTENCE_END = re.compile(r"[.!?。！？।؟][\"”’)\]]*(?=\s|$)")
 THAI = re.compile(r"[฀-๿]")
+#: Thai that cannot end: a vowel written before its consonant, a conjunction or a preposition.
+THAI_OPEN = re.compile(r"(?:[เแโใไ]|และ|หรือ|ของ|ที่|ใน|กับ|เพื่อ|โดย|จาก|ซึ่ง|ว่า|ต้อง|จะ|ให้|ถ้า|เมื่อ|ก่อน|หลัง|ระหว่าง|ไม่)\s*$")
+#: Thai conjunctions and prepositions after which a made text breaks off.
+THAI_JOINS = ("ก่อน", "หลัง", "ต้อง", "ให้", "และ", "ที่")
+#: Words without any that points to a known language from which a text counts as foreign to all of them.
+FOREIGN_WORDS = 12
 #: Abbreviations after which a text cannot stop.
 OPEN_ABBREVIATIONS = frozenset("i.e. e.g. cf. cl. no. nos. art. para. fig. vs. viz. approx. ca. vol. pp. p. mr. mrs. dr. prof. st. z.b. bzw. d.h. sec. ch. incl. excl. resp.".split())
 MARK_ONLY = re.compile(r"^\(?[A-Za-z0-9]{1,3}[.)]$|^[-•*–]$")
 SHAPE = ((re.compile(r"\d+"), "9"), (re.compile(r"[A-Z]{2,}"), "AA"), (re.compile(r"[a-z]{3,}"), "a"), (re.compile(r"\s+"), " "))
 #: Dense features of a pair, in order.
-DENSE = ("bias", "no_words", "few_words", "short", "log_words", "final_mark", "ellipsis", "open_mark", "own_line", "short_line", "mark_only", "unbalanced", "thai_end", "digit_end", "covered", "covering", "longer", "same_language", "other_language", "unknown_language", "has_question", "open_abbreviation", "symbol_end", "word_end")
+DENSE = ("bias", "no_words", "few_words", "short", "log_words", "final_mark", "ellipsis", "open_mark", "own_line", "short_line", "mark_only", "unbalanced", "thai_end", "digit_end", "covered", "covering", "longer", "same_language", "other_language", "unknown_language", "has_question", "open_abbreviation", "symbol_end", "word_end", "stand_in", "only_question", "most_covered", "foreign_words", "thai_cut", "few_said")
 #: Weight of the dense features against the hashed ones.
 DENSE_SCALE = 1.0
 AT = {name: i for i, name in enumerate(DENSE)}
@@ -86,6 +91,8 @@ def tail_features(text: str) -> tuple[list[int], dict[str, float]]:
         return [], flags
     line = s.rsplit("\n", 1)[-1]
     core = s.rstrip(CLOSERS + " ")
+    while core and unicodedata.category(core[-1]) in ("So", "Sk", "Mn", "Cf"):  # an emoji or ornament after the end
+        core = core[:-1].rstrip(CLOSERS + " ")
     last = core[-1:] or s[-1]
     dots = core.endswith(("...", "…"))
     if core.rsplit(None, 1)[-1:] and core.split()[-1].lower().lstrip("([“\"") in OPEN_ABBREVIATIONS:
@@ -139,7 +146,6 @@ class Features:
     row: np.ndarray  # of each hashed feature
     col: np.ndarray
     value: np.ndarray
-    ok: np.ndarray  # rows x defects: the exact check that follows a decision
 
 
 def features(questions: pa.Array, passages: pa.Array) -> Features:
@@ -197,8 +203,10 @@ def features(questions: pa.Array, passages: pa.Array) -> Features:
     dense[:, AT["bias"]] = 1
     dense[:, AT["no_words"]] = np_ == 0
     dense[:, AT["few_words"]] = (np_ <= 4) & (lengths < 60)
-    dense[:, AT["short"]] = once <= 45
-    dense[:, AT["log_words"]] = np.log1p(once) / 5
+    # a stretch without blanks is as many words as its length amounts to
+    said = np.where(covered >= 0.75, once, np.maximum(once, lengths / 6))
+    dense[:, AT["short"]] = said <= 45
+    dense[:, AT["log_words"]] = np.log1p(said) / 5
     dense[:, AT["covered"]] = np.where(covered > 0.5, covered, 0)
     dense[:, AT["covering"]] = covering * (covered > 0.5)
     dense[:, AT["longer"]] = np.clip((once - nq) / 60, -1, 2)
@@ -208,17 +216,25 @@ def features(questions: pa.Array, passages: pa.Array) -> Features:
     dense[:, AT["unknown_language"]] = ~known
     dense[:, AT["has_question"]] = nq > 0
     final = dense[:, AT["final_mark"]] > 0
-    ok = np.stack([(np_ == 0) | ((np_ <= 4) & (lengths < 40) & ~((np_ > 2) & final)), (np_ > 0) & ~final, (np_ > 0) & ((lp > 0) | (lengths <= 600)), covered >= 0.75, known & (lp != lq)], axis=1)
-    return Features(dense * np.float32(DENSE_SCALE), row, col, value, ok)
+    dense[:, AT["stand_in"]] = (np_ == 0) | ((np_ <= 4) & (lengths < 40) & ~((np_ > 2) & final))
+    dense[:, AT["only_question"]] = covered >= 0.75
+    dense[:, AT["most_covered"]] = np.clip(covered - 0.75, 0, 0.25) * 4 * np.clip(covering, 0, 1)
+    dense[:, AT["foreign_words"]] = (lp == 0) & (lq > 0) & (np_ >= FOREIGN_WORDS)
+    dense[:, AT["few_said"]] = said <= 12
+    # Thai has no marks: a text breaks off where its last stretch is short of the others or its last letter needs another
+    for i in np.flatnonzero(dense[:, AT["thai_end"]]):
+        dense[i, AT["thai_cut"]] = THAI_OPEN.search(texts[i][-40:]) is not None
+    return Features(dense * np.float32(DENSE_SCALE), row, col, value)
 
 
 @dataclass
 class PairModel:
-    """Weights of one linear output per defect, and its calibrated threshold."""
+    """Weights of one linear output per defect, its threshold, and the slope that makes outputs comparable."""
 
     hashed: np.ndarray  # 2**BITS x defects
     dense: np.ndarray  # len(DENSE) x defects
     threshold: np.ndarray
+    slope: np.ndarray
 
     def scores(self, f: Features) -> np.ndarray:
         out = f.dense @ self.dense
@@ -226,15 +242,13 @@ class PairModel:
             out[:, k] += np.bincount(f.row, weights=f.value * self.hashed[f.col, k], minlength=len(out))
         return out
 
+    def margins(self, f: Features) -> np.ndarray:
+        """Calibrated log odds of every defect; a pair has each defect whose margin is above 0."""
+        return (self.scores(f) - self.threshold) * self.slope
+
     def decide(self, f: Features) -> np.ndarray:
-        """Index of each pair's defect, -1 for a sound one; of several the one furthest above its threshold."""
-        above = self.scores(f) - self.threshold
-        above[~f.ok] = -np.inf
-        # what is nothing, only the question, or a refusal also breaks off or lacks a language
-        above[:, 0] += np.where(above[:, 0] > 0, 1000, 0)
-        above[:, 3] += np.where(above[:, 3] > 0, 500, 0)
-        above[:, 4] += np.where(above[:, 4] > 0, 100, 0)
-        above[:, 2] += np.where(above[:, 2] > 0, 50, 0)
+        """Index of each pair's likeliest defect, -1 for a sound one."""
+        above = self.margins(f)
         best = above.argmax(axis=1)
         return np.where(above[np.arange(len(best)), best] > 0, best, -1)
 
@@ -283,6 +297,17 @@ def _languages(texts: list[str]) -> np.ndarray:
     return main_languages(flat, offsets, segment_hashes(folded, starts, ends, WORD_BASE), first)
 
 
+def _unknown(text: str, rng: np.random.Generator) -> str:
+    """The text in a made language: every letter stands for another of its kind."""
+    kinds = ("aeiou", "bcdfghjklmnpqrstvwxz")
+    table = {}
+    for letters in kinds:
+        turned = list(letters)
+        rng.shuffle(turned)
+        table.update({ord(a): b for a, b in zip(letters, turned, strict=True)} | {ord(a.upper()): b.upper() for a, b in zip(letters, turned, strict=True)})
+    return text.translate(table)
+
+
 def _part(text: str, rng: np.random.Generator) -> str:
     """Some whole sentences of a text."""
     ends = [m.end() for m in re.finditer(r"[.。।]", text)] or [len(text)]
@@ -314,6 +339,11 @@ def made_pairs(sample: list[tuple[str, str]], rng: np.random.Generator) -> tuple
                 out.append((q, p[: ends[min(len(ends) - 1, int(rng.integers(3)))]], -1))
         elif r < 0.5:  # the passage of another question is no defect in itself
             out.append((q, good[int(rng.integers(len(good)))][1], -1))
+        if rng.random() < 0.1:  # a whole passage may end in a list of short items, or an ornament
+            word = str(rng.choice(("Form", "Table", "Annex", "Item", "Plate")))
+            tail = "".join(f"\n- {word} {n}" for n in rng.integers(1, 99, int(rng.integers(1, 5)))) if rng.random() < 0.8 else " ✓"
+            if p.rstrip()[-1:] in FINAL:
+                out.append((q, p.rstrip() + tail, -1))
         cut = _cut_inside(p, rng)
         if cut:
             out.append((q, cut, 1))
@@ -325,13 +355,28 @@ def made_pairs(sample: list[tuple[str, str]], rng: np.random.Generator) -> tuple
             before, after = AROUND[int(rng.integers(len(AROUND)))]
             text = before + str(rng.choice(REFUSE)) + str(rng.choice(BECAUSE)) + ("." if after or rng.random() < 0.75 else "") + after
             out.append((q, text.upper() if rng.random() < 0.12 else text.replace("'", "’") if rng.random() < 0.3 else text, 2))
+        if rng.random() < 0.1:  # broken off Thai, and whole Thai
+            thai = FOREIGN["th"]
+            asked = _part(FOREIGN["th"], rng)
+            out.append((asked, thai, -1))
+            stops = [m.start() for m in re.finditer("|".join(THAI_JOINS), thai)]
+            at = stops[int(rng.integers(len(stops)))]
+            out.append((asked, thai[: at + len(next(w for w in THAI_JOINS if thai.startswith(w, at)))], 1))
+        if rng.random() < 0.08:  # without a question no language is another; letters and digits at random are no refusal
+            out.append(("", FOREIGN[str(rng.choice(list(FOREIGN)))], -1))
+            out.append((q, "".join(rng.choice(list("abcdefghjk0123456789012345678901234567890"), int(rng.integers(60, 1500)))) + ".", -1))
+        if rng.random() < 0.1 and tongue[i] == usual:  # a language that none of the lists knows
+            out.append((q, _unknown(p, rng), 4))
+        if rng.random() < 0.08:  # a refusal that goes on and on
+            more = " ".join(str(x) + str(rng.choice(BECAUSE)) + "." for x in rng.choice(REFUSE[:29], int(rng.integers(4, 12))))
+            out.append((q, more, 2))
         r = rng.random()
         if r < 0.6:  # swapped: a passage in another language than the question, or both in that language
             x, y = (str(v) for v in rng.choice(list(FOREIGN), 2, replace=False))
             text, asked = _part(FOREIGN[x], rng), _part(FOREIGN[y if r < 0.15 else x], rng)
             out.append((asked, text, 4 if r < 0.15 else -1) if r < 0.3 else (q, text, 4 if x != "en" and tongue[i] == usual else -1))
         elif r < 0.75 and foreign and native:
-            lead = str(rng.choice(("", "", "Re: ", "Answer: ")))
+            lead = str(rng.choice(("", "", "Re: ", "Answer: ", "Note. ", "Reply. ")))
             out.append((native[int(rng.integers(len(native)))], lead + foreign[int(rng.integers(len(foreign)))], 4))
     y = np.zeros((len(out), len(DEFECTS)), dtype=np.float32)
     for i, (_, _, k) in enumerate(out):
@@ -362,7 +407,17 @@ def _fit(f: Features, y: np.ndarray, use: np.ndarray, rounds: int) -> PairModel:
             mh[:, k] = 0.9 * mh[:, k] + 0.1 * h
             vh[:, k] = 0.99 * vh[:, k] + 0.01 * h * h
             hashed[:, k] -= 0.02 * (mh[:, k] / warm1) / (np.sqrt(vh[:, k] / warm2) + 1e-5)
-    return PairModel(hashed, dense, np.zeros(len(DEFECTS)))
+    return PairModel(hashed, dense, np.zeros(len(DEFECTS)), np.ones(len(DEFECTS)))
+
+
+def _slope(own: np.ndarray, truth: np.ndarray) -> float:
+    """Slope of the log odds over the distance from the threshold, by Newton's steps with a weak prior."""
+    slope = 1.0
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(slope * own, -30, 30)))
+        g = ((truth - p) * own).sum() - 0.1 * (slope - 1)
+        slope = float(np.clip(slope + g / ((p * (1 - p) * own * own).sum() + 0.1), 0.2, 5))
+    return slope
 
 
 def plain_pairs(n: int, rng: np.random.Generator) -> list[tuple[str, str]]:
@@ -379,14 +434,12 @@ def plain_pairs(n: int, rng: np.random.Generator) -> list[tuple[str, str]]:
 def train(sample: list[tuple[str | None, str | None]], seed: int = SEED) -> PairModel:
     """Fit and calibrate on pairs taken as sound and defects made from them.
 
-    A small sample is joined by plain pairs. Pairs of the sample that a first model calls defective are dropped before the second fit, as
+    Every sample is joined by plain pairs. Pairs of the sample that a first model calls defective are dropped before the second fit, as
     the sample itself holds defects.
     """
-    pairs = [(q or "", p or "") for q, p in sample]
-    if len(pairs) < FEW_PAIRS:
-        pairs = pairs + plain_pairs(FEW_PAIRS, np.random.default_rng(seed))
-    checked = features(pa.array([q for q, _ in pairs], pa.string()), pa.array([p for _, p in pairs], pa.string())).ok
-    odd = checked[:, 0] | checked[:, 3] | checked[:, 4]  # nothing, only the question, or another language: not taken as sound
+    pairs = [(q or "", p or "") for q, p in sample] + plain_pairs(PLAIN_PAIRS, np.random.default_rng(seed))
+    told = features(pa.array([q for q, _ in pairs], pa.string()), pa.array([p for _, p in pairs], pa.string())).dense
+    odd = told[:, [AT["stand_in"], AT["only_question"], AT["other_language"]]].any(axis=1)  # not taken as sound
     pairs = [x for x, o in zip(pairs, odd, strict=True) if not o] or pairs
     model = None
     for rounds in (FIRST_ROUNDS, ROUNDS):
@@ -400,27 +453,30 @@ def train(sample: list[tuple[str | None, str | None]], seed: int = SEED) -> Pair
         held = number % 4 == 0  # held out with everything made from the same pair
         model = _fit(f, y, ~held, rounds)
         s = model.scores(f)
-        for k in range(len(DEFECTS)):  # the lowest threshold of about the best F1 on the held-out part (for truncation the middle)
+        for k in range(len(DEFECTS)):  # the middle of the thresholds of the best F1 on the held-out part
             own, truth = s[held, k], y[held, k] > 0
             grid = np.linspace(-3, 3, 61)
             hit = own[None, :] > grid[:, None]
             f1 = 2 * (hit & truth).sum(1) / np.maximum(1, hit.sum(1) + truth.sum())
-            model.threshold[k] = grid[f1 >= f1.max() - SLACK[k] - 1e-9].min() if SLACK[k] else grid[f1 >= f1.max() - 1e-9].mean()
+            model.threshold[k] = grid[f1 >= f1.max() - 1e-9].mean()
+            model.slope[k] = _slope(own - model.threshold[k], truth)
     return model
 
 
 class Score:
-    def __init__(self, shared):
-        self.shared = shared
+    def __init__(self, shared, every: bool):
+        self.shared, self.every = shared, every
 
     def __call__(self, batches):
         for batch in batches:
-            found = []
+            found = [np.zeros((0, len(DEFECTS)))]
             for a, b in blocks(batch.column(2)):
-                found.append(self.shared.value.decide(features(batch.column(1)[a:b], batch.column(2)[a:b])))
-            k = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
-            rows = np.flatnonzero(k >= 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([DEFECTS[i] for i in k[rows]], pa.string())], names=["qid", "defect"])
+                found.append(self.shared.value.margins(features(batch.column(1)[a:b], batch.column(2)[a:b])))
+            above = np.concatenate(found)
+            if not self.every:
+                above[above < above.max(axis=1, keepdims=True)] = -1
+            row, k = np.nonzero(above > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([DEFECTS[i] for i in k], pa.string()), pa.array(1 / (1 + np.exp(-above[row, k])))], names=["qid", "defect", "probability"])
 
 
 def paired(questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -438,8 +494,8 @@ def sample_pairs(questions: DataFrame, chunks: DataFrame, size: int = SAMPLE_PAI
     return [once[k] for k in sorted(once)]
 
 
-def defective_pairs(questions: DataFrame, chunks: DataFrame, size: int = SAMPLE_PAIRS) -> DataFrame:
-    """``qid, defect`` of every defective pair of question and passage, at most one row per qid and passage text.
+def defective_pairs(questions: DataFrame, chunks: DataFrame, size: int = SAMPLE_PAIRS, every: bool = False) -> DataFrame:
+    """``qid, defect, probability`` of every defective pair of question and passage, the likeliest defect or with ``every`` all of them.
 
     Pairs whose passage does not exist have no row. A null question still has its passage judged
     (copy and language need a question). Null passages count as empty. Rows appended twice give
@@ -447,8 +503,8 @@ def defective_pairs(questions: DataFrame, chunks: DataFrame, size: int = SAMPLE_
     """
     model = train(sample_pairs(questions, chunks, size))
     shared = questions.sparkSession.sparkContext.broadcast(model)  # fixed size: 2**17 weights per defect
-    return paired(questions, chunks).mapInArrow(Score(shared), "qid string, defect string").distinct()
+    return paired(questions, chunks).mapInArrow(Score(shared, every), "qid string, defect string, probability double").groupBy("qid", "defect").agg(F.max("probability").alias("probability"))
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
-    return defective_pairs(table(spark, sf_dir, "synthetic_questions"), table(spark, sf_dir, "chunks"))
+    return defective_pairs(table(spark, sf_dir, "synthetic_questions"), table(spark, sf_dir, "chunks")).select("qid", "defect")

@@ -261,3 +261,17 @@ def test_mix(spark):
     assert shares["absent"].tokens_used == 0
     assert mixing.mix_sources(df.limit(0), targets).count() == 0
     assert all(r.repeats == 0 for r in mixing.mix_sources(df, targets.limit(0)).collect())
+
+
+def test_no_kind_of_defect_is_ruled_out():
+    """Broken-off Thai, long refusals, questions said again and again, languages outside every list, several defects at once."""
+    model = pairs.train(pairs.plain_pairs(400, np.random.default_rng(1)))
+    ask = "May the captain report the decision before the interval when both captains agree?"
+    thai = pairs.FOREIGN["th"]
+    long_refusal = " ".join(["I cannot answer this question because no source was supplied.", "My guidelines do not let me answer.", "I refuse to answer this.", "No answer can be given here at this time."] * 5)
+    swedish = "Kaptenen får inte lämna planen innan domaren har gett sitt tillstånd, och spelet återupptas först efter att regnet har upphört helt."
+    cases = [(thai, thai[: thai.index("ก่อน") + 4], "truncated"), (thai, thai, "ok"), (ask, long_refusal, "refusal"), (ask, " ".join([ask] * 5), "copy"), (ask, swedish, "language")]
+    f = pairs.features(pa.array([q for q, _, _ in cases], pa.string()), pa.array([p for _, p, _ in cases], pa.string()))
+    assert len(long_refusal.split()) > 133
+    assert [pairs.DEFECTS[k] if k >= 0 else "ok" for k in model.decide(f)] == [d for _, _, d in cases]
+    assert model.margins(f).shape == (5, len(pairs.DEFECTS))
