@@ -32,7 +32,7 @@ def available(configs=CONFIGS) -> tuple[list[Config], list[str]]:
     return ok, [f"{c.name}: no reranker {c.reranker!r}" for c in configs if c not in ok]
 
 
-def retrieve(chunks: DataFrame, questions: DataFrame, first_stage: str = "dense", k: int = retrieval.RETRIEVE_K) -> DataFrame:
+def retrieve(chunks: DataFrame, questions: DataFrame, first_stage: str = "dense", k: int = retrieval.RETRIEVE_K, version: str | None = None) -> DataFrame:
     """``qid, rank, chunk_id, score`` by dense, bm25 or both fused; an unknown stage is an error.
 
     Dense search uses hashed token vectors; a model's vectors can take their place in ``dense_topk``.
@@ -42,7 +42,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, first_stage: str = "dense"
         raise ValueError(f"unknown first stage {first_stage!r}; known are {STAGES}")
     text = chunks.select("chunk_id", "competition", "status", "text")
     if first_stage == "bm25":
-        return retrieval.bm25(text, questions, k)
+        return retrieval.bm25(text, questions, k, version)
     docs = retrieval.hashed_vectors(text.where("status = 'active'").select(F.col("chunk_id").alias("key"), "text"))
     docs = docs.join(text.select(F.col("chunk_id").alias("key"), F.col("competition").alias("grp")), "key")
     asked = retrieval.hashed_vectors(questions.select(F.col("qid").alias("key"), F.col("question").alias("text")))
@@ -51,7 +51,7 @@ def retrieve(chunks: DataFrame, questions: DataFrame, first_stage: str = "dense"
     dense = top.select(F.col("query").alias("qid"), "rank", F.col("key").alias("chunk_id"), "score")
     if first_stage == "dense":
         return dense
-    return retrieval.reciprocal_rank_fusion([dense, retrieval.bm25(text, questions, k)], k)
+    return retrieval.reciprocal_rank_fusion([dense, retrieval.bm25(text, questions, k, version)], k)
 
 
 def ranked(chunks: DataFrame, plans: DataFrame, first_stage: str = "dense", reranker: str | None = "overlap", k: int = retrieval.RETRIEVE_K) -> DataFrame:

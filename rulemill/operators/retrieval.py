@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rulemill.session import cut
+from rulemill.session import ensure_checkpoint_dir, written
 
 RETRIEVE_K, CONTEXT_K, TOPUP_K = 20, 5, 3
 MAX_VARIANTS_PER_TITLE = 2
@@ -38,18 +40,60 @@ def allowed_filter(allowed: Column, competition: Column, status: Column) -> Colu
 
 
 def term_statistics(docs: DataFrame) -> DataFrame:
-    """``token, df, idf`` of ``docs(key, text)``, superseded rows included.
+    """``token, df, idf`` of ``docs``, superseded rows included; its texts are in ``text``, or as tokens in ``toks``.
 
     A negative idf is replaced by EPSILON times the mean idf of the whole vocabulary. Token counts
     are combined before the shuffle; empty and null texts count as documents without tokens.
     """
     n = docs.agg(F.count("*").cast("double").alias("n"))
-    df = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    lists = F.col("toks") if "toks" in docs.columns else tokens(F.col("text"))
+    df = docs.select(F.explode(F.array_distinct(lists)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def fingerprint(chunks: DataFrame) -> str:
+    """A version of ``chunks(chunk_id, competition, status, text)`` that any change of its rows changes, whatever their order: one scan."""
+    h = F.xxhash64("chunk_id", "competition", "status", "text")
+    r = chunks.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 16))).first()
+    return "-".join(f"{(x or 0) & (2**64 - 1):x}" for x in r)
+
+
+@dataclass(frozen=True)
+class LexicalIndex:
+    """Tokenised passages, term statistics and mean length of one version of the corpus, kept as tables."""
+
+    docs: DataFrame  # chunk_id, competition, toks of active passages
+    stats: DataFrame  # token, df, idf
+    mean: float
+
+
+def lexical_index(chunks: DataFrame, version: str | None = None) -> LexicalIndex:
+    """The kept index of a version, built where there is none yet; the corpus is tokenised once per version.
+
+    Without a version that of the rows is taken, so changed rows never meet an old index. The tables
+    lie in the session's checkpoint folder; ``drop_index`` removes one.
+    """
+    spark = chunks.sparkSession
+    version = version or fingerprint(chunks)
+    path = f"{ensure_checkpoint_dir(spark)}/lexical-index/{version}"
+    if not written(spark, f"{path}/stats"):
+        lists = chunks.select("chunk_id", "competition", "status", tokens(F.col("text")).alias("toks"))
+        lists.write.mode("overwrite").parquet(f"{path}/docs")
+        lists = spark.read.parquet(f"{path}/docs")
+        term_statistics(lists).write.mode("overwrite").parquet(f"{path}/stats")
+    lists = spark.read.schema("chunk_id string, competition string, status string, toks array<string>").parquet(f"{path}/docs")
+    mean = lists.agg(F.avg(F.coalesce(F.size("toks"), F.lit(0)))).first()[0] or 0.0
+    stats = spark.read.schema("token string, df bigint, idf double").parquet(f"{path}/stats")
+    return LexicalIndex(lists.where("status = 'active' and chunk_id is not null").select("chunk_id", "competition", "toks"), stats, mean)
+
+
+def drop_index(spark: SparkSession, version: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark)}/lexical-index/{version}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Bm25Block:
     """Scores Arrow batches of tokenised passages against a block of questions: term frequencies times a weight matrix.
 
@@ -80,8 +124,11 @@ class Bm25Block:
                 may = {c: own == c for c in {c for x in allowed if x for c in x}}
                 for j, only in enumerate(allowed):
                     ok = np.logical_or.reduce([may[c] for c in only]) if only else np.ones(n, dtype=bool)
-                    if len(best[j][0]) == self.k:
-                        ok &= scores[:, j] >= best[j][0][-1]
+                    least = best[j][0][-1] if len(best[j][0]) == self.k else -np.inf
+                    own_scores = scores[ok, j]
+                    if len(own_scores) > self.k:
+                        least = max(least, np.partition(own_scores, -self.k)[-self.k])
+                    ok[ok] = own_scores >= least
                     if ok.any():
                         s, x = np.concatenate([best[j][0], scores[ok, j]]), np.concatenate([best[j][1], ids[ok]])
                         order = np.lexsort((x.astype(str), -s))[: self.k]
@@ -90,30 +137,27 @@ class Bm25Block:
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["qid", "chunk_id", "score"])
 
 
-def bm25(chunks: DataFrame, questions: DataFrame, k: int = RETRIEVE_K) -> DataFrame:
+def bm25(chunks: DataFrame, questions: DataFrame, k: int = RETRIEVE_K, version: str | None = None) -> DataFrame:
     """``qid, rank, chunk_id, score``: the k best active passages of each question.
 
     ``chunks`` has chunk_id, competition, status, text; ``questions`` has qid, question and
     allowed (array or null). Statistics come from the unfiltered corpus, the filter from the
     question, before the cut to k. Repeated question tokens count each time. Passages of score 0
     fill up to k; ties go by chunk_id. Null questions and texts have no tokens. The questions are a
-    stated query set: each block of them is broadcast and scored against all passages in one scan.
+    stated query set: each block of them is broadcast and scored against all passages in one scan
+    of the index that ``lexical_index`` keeps for the version.
     """
     spark = chunks.sparkSession
+    index = lexical_index(chunks.select("chunk_id", "competition", "status", "text"), version)
     questions = questions.where("qid is not null").select("qid", F.coalesce(tokens(F.col("question")), F.array().cast("array<string>")).alias("toks"), "allowed")
-    stats = term_statistics(chunks.select("text"))
     passes = max(1, -(-questions.count() // QUESTION_BLOCK))
-    if passes > 1:
-        stats = cut(stats)
-    mean = chunks.agg(F.avg(F.coalesce(F.size(tokens(F.col("text"))), F.lit(0)))).first()[0] or 0.0
-    held = chunks.where("status = 'active' and chunk_id is not null").select("chunk_id", "competition", tokens(F.col("text")).alias("toks"))
     out = None
     for p in range(passes):
         part = questions if passes == 1 else questions.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == p)
         rows = part.orderBy("qid").collect()  # about QUESTION_BLOCK rows
         vocabulary = sorted({t for r in rows for t in r[1]})
         needed = spark.createDataFrame([(t,) for t in vocabulary], "token string")
-        idf = {r[0]: r[1] for r in stats.join(F.broadcast(needed), "token").select("token", "idf").collect()}  # tokens of the block
+        idf = {r[0]: r[1] for r in index.stats.join(F.broadcast(needed), "token").select("token", "idf").collect()}  # tokens of the block
         vocabulary = [t for t in vocabulary if t in idf]
         at = {t: i for i, t in enumerate(vocabulary)}
         weights = np.zeros((len(vocabulary), len(rows)))
@@ -121,8 +165,8 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = RETRIEVE_K) -> DataFr
             for t in r[1]:
                 if t in at:
                     weights[at[t], j] += idf[t]
-        block = [r[0] for r in rows], vocabulary, weights, [r[2] for r in rows], mean
-        found = held.mapInArrow(Bm25Block(spark.sparkContext.broadcast(block), k), "qid string, chunk_id string, score double")
+        block = [r[0] for r in rows], vocabulary, weights, [r[2] for r in rows], index.mean
+        found = index.docs.mapInArrow(Bm25Block(spark.sparkContext.broadcast(block), k), "qid string, chunk_id string, score double")
         out = found if out is None else out.unionByName(found)
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
     return out.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
@@ -218,11 +262,29 @@ def hashed_features(docs: DataFrame, dims: int = 64) -> DataFrame:
     return counts.select("key", "dim", (F.col("n") / length).alias("value"))
 
 
+class HashedVectors:
+    """Dense vectors of token lists: counts in hashed buckets, scaled to length 1."""
+
+    def __init__(self, dims: int):
+        self.dims = dims
+
+    def __call__(self, batches):
+        for batch in batches:
+            lists = batch.column(1)
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = pc.dictionary_encode(lists.flatten())
+            bucket = np.array([int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % self.dims for t in coded.dictionary.to_pylist()], dtype=np.int64)
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            counts = np.bincount(row * self.dims + bucket[coded.indices.to_numpy()], minlength=batch.num_rows * self.dims).reshape(-1, self.dims).astype(np.float64)
+            some = np.flatnonzero(lengths)
+            unit = counts[some] / np.sqrt((counts[some] ** 2).sum(axis=1, keepdims=True))
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * self.dims), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), vectors], names=["key", "vector"])
+
+
 def hashed_vectors(docs: DataFrame, dims: int = 64) -> DataFrame:
-    """``key, vector`` with the dense form of ``hashed_features``."""
-    parts = F.map_from_entries(F.collect_list(F.struct("dim", "value")))  # at most dims entries
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.element_at("m", i.cast("bigint")), F.lit(0.0)))
-    return hashed_features(docs, dims).groupBy("key").agg(parts.alias("m")).select("key", dense.alias("vector"))
+    """``key, vector`` with the dense form of ``hashed_features``, in one scan; a key that comes twice has two rows."""
+    return docs.select("key", tokens(F.col("text")).alias("toks")).mapInArrow(HashedVectors(dims), f"key {dict(docs.dtypes)['key']}, vector array<double>")
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int = RETRIEVE_K, rrf_k: int = RRF_K) -> DataFrame:

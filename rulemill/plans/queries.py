@@ -52,10 +52,15 @@ def asked(s: SparkSession, d: str) -> DataFrame:
 # -- retrieval
 
 
+def _version(s: SparkSession, d: str) -> str:
+    """The version of the index: that of the table as delivered."""
+    return retrieval.fingerprint(table(s, d, "chunks"))
+
+
 def _bm25(s: SparkSession, d: str, filtered: bool) -> DataFrame:
     q = asked(s, d)
     q = q.select("qid", "question", "allowed" if filtered else F.lit(None).cast("array<string>").alias("allowed"))
-    return retrieval.bm25(chunks(s, d).select("chunk_id", "competition", "status", "text"), q)
+    return retrieval.bm25(chunks(s, d).select("chunk_id", "competition", "status", "text"), q, version=_version(s, d))
 
 
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
@@ -129,7 +134,7 @@ def comparison_topup(s: SparkSession, d: str) -> DataFrame:
     found = _candidates(s, d).where(F.col("rank") <= retrieval.CONTEXT_K).select("qid", "rank", "chunk_id", "competition")
     compared = _compared(s, d)
     q = golden(s, d).join(compared, "qid").select(F.concat_ws("|", "qid", "competition").alias("qid"), "question", F.array("competition").alias("allowed"))
-    pool = retrieval.bm25(chunks(s, d).select("chunk_id", "competition", "status", "text"), q, retrieval.TOPUP_K)
+    pool = retrieval.bm25(chunks(s, d).select("chunk_id", "competition", "status", "text"), q, retrieval.TOPUP_K, _version(s, d))
     parts = F.split("qid", r"\|")
     pools = pool.select(parts[0].alias("qid"), parts[1].alias("competition"), F.col("rank").alias("pool_rank"), "chunk_id")
     return retrieval.top_up(found, compared, pools)

@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from rulemill.operators.indexing import sync_actions
 from rulemill.schemas import CHUNK_COLUMNS, CHUNKS
-from rulemill.session import cut
+from rulemill.session import cut, written
 from rulemill.sources.io import read_chunks, write_chunks
 
 
@@ -44,12 +44,6 @@ def sync_batch(batch: DataFrame, index_path: str, log_path: str, batch_id: int)
         held.unpersist()
 
 
-def written(spark: SparkSession, path: str) -> bool:
-    """Whether a table was written there to its end."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
-
-
 def existing(spark: SparkSession, path: str) -> DataFrame:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
