@@ -24,8 +24,6 @@ from rulemill.session import table
 
 SHARE = 0.65
 STRETCH = 1.5
-#: Answers of fewer words are too common to name a leak.
-ANSWER_WORDS = 8
 #: Test items per automaton; more are scanned for in further passes.
 ITEMS_PER_PASS = 20_000
 #: Rows looked at to rank words by how common they are. Any ranking gives the same result.
@@ -47,26 +45,28 @@ class Matcher:
         self.questions, self.need, self.window, self.seeds, self.hits = [], [], [], defaultdict(list), []
         self.answers = []
         for item, question, answer in items:
-            found = split_words(question or "")
+            found, said = split_words(question or ""), split_words(answer or "")
             if found:
-                n = len(found)
-                need = math.ceil(share * n - 1e-9)
-                # At most n - need words may be missing, so of any more seed words some must occur.
-                order = sorted(range(n), key=lambda i: (common[found[i]], found[i], i))
-                seeds = order[: min(n, n - need + max(1, need // 2))]
-                k = len(self.questions)
-                self.questions.append((item, found))
-                self.need.append(need)
-                self.window.append(math.floor(stretch * n + 1e-9))
-                self.hits.append(max(1, len(seeds) - (n - need)))
-                for w in sorted({found[i] for i in seeds}):
-                    self.seeds[w].append(k)
-            said = split_words(answer or "")
-            if len(said) >= ANSWER_WORDS:
+                self._add(item, found, common)
+            if said:
                 self.answers.append((item, said))
         self.seeds = dict(self.seeds)
         self._ready = None
 
+    def _add(self, item: str, found: list[str], common: Counter) -> None:
+        n = len(found)
+        need = math.ceil(self.share * n - 1e-9)
+        # At most n - need words may be missing, so of any more seed words some must occur.
+        order = sorted(range(n), key=lambda i: (common[found[i]], found[i], i))
+        seeds = order[: min(n, n - need + max(1, need // 2))]
+        k = len(self.questions)
+        self.questions.append((item, found))
+        self.need.append(need)
+        self.window.append(math.floor(self.stretch * n + 1e-9))
+        self.hits.append(max(1, len(seeds) - (n - need)))
+        for w in sorted({found[i] for i in seeds}):
+            self.seeds[w].append(k)
+
     def __getstate__(self):
         return self.__dict__ | {"_ready": None}
 
@@ -181,7 +181,7 @@ def find_passages(texts: DataFrame, items: DataFrame, share: float = SHARE, stre
 
     ``items`` has item_id, question and answer. Field ``question``: a stretch of at most
     ``stretch`` times the question's words holds at least ``share`` of them in order (the shortest
-    such stretch). Field ``answer``: the whole answer of 8 words or more occurs. One scan of the
+    such stretch). Field ``answer``: the whole answer occurs, however short it is (a rule's wording is common, so a part of it names no leak). One scan of the
     texts and no shuffle; the items, a stated query set, are scanned for in blocks of bounded size.
     Null, empty and wordless texts and items match nothing; repeated rows give repeated results.
     """
@@ -199,13 +199,13 @@ def find_passages(texts: DataFrame, items: DataFrame, share: float = SHARE, stre
     return out
 
 
-def leaks(questions: DataFrame, chunks: DataFrame, golden: DataFrame) -> DataFrame:
+def leaks(questions: DataFrame, chunks: DataFrame, golden: DataFrame, answers: bool = True) -> DataFrame:
     """Training questions touched by test items: ``item_id, qid, field, place, start_pos, end_pos``.
 
     ``place`` is ``question`` or ``passage``; offsets count from the start of the question or of the
     passage. Passages are scanned where they lie and only hits are joined with the questions.
     """
-    items = golden.select(F.col("id").alias("item_id"), "question", F.col("answer_short").alias("answer"))
+    items = golden.select(F.col("id").alias("item_id"), "question", (F.col("answer_short") if answers else F.lit(None)).alias("answer"))
     asked = questions.select("qid", "question", "pos_chunk_id").where("qid is not null")
     in_question = find_passages(asked.select(F.col("qid").alias("key"), F.col("question").alias("text")), items)
     in_passage = find_passages(chunks.select(F.col("chunk_id").alias("key"), passage(F.col("text")).alias("text")), items).distinct()
@@ -216,5 +216,5 @@ def leaks(questions: DataFrame, chunks: DataFrame, golden: DataFrame) -> DataFra
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
-    all_leaks = leaks(table(spark, sf_dir, "synthetic_questions"), table(spark, sf_dir, "chunks"), table(spark, sf_dir, "golden_items"))
+    all_leaks = leaks(table(spark, sf_dir, "synthetic_questions"), table(spark, sf_dir, "chunks"), table(spark, sf_dir, "golden_items"), answers=False)
     return all_leaks.where("field = 'question'").select("item_id", "qid").distinct()

@@ -184,6 +184,11 @@ def test_leaks_name_questions(spark):
     g = spark.createDataFrame([("g", GOLD, answer)], "id string, question string, answer_short string")
     got = {(r.item_id, r.qid, r.field, r.place) for r in leakage.leaks(q, c, g).collect()}
     assert got == {("g", "q1", "question", "question"), ("g", "q2", "question", "passage"), ("g", "q1", "answer", "passage")}
+    short, part = "Fourteen pearl buttons.", "He said the striker shall record one short run when both the captains agree, no more."
+    c = spark.createDataFrame([("c1", "[h]\nIt cost fourteen pearl buttons in all."), ("c9", f"[h]\n{part}")], "chunk_id string, text string")
+    g = spark.createDataFrame([("s", None, short), ("p", None, answer), ("one", None, "pearl")], "id string, question string, answer_short string")
+    places = {(r.item_id, r.field, r.place) for r in leakage.leaks(q, c, g).collect()}
+    assert places == {("s", "answer", "passage"), ("one", "answer", "passage")}, places
 
 
 # -- pairs
