@@ -15,6 +15,10 @@ def nearest_subset(sizes: list[int], counts: list[int], goal: int, may_exceed: b
     is taken. Where the goal is above ``span``, a proportional part of every size is taken first
     and the rest is solved exactly: each count is split into powers of two, and each part shifts
     the bitset of reachable sums. Sizes of 0 and counts of 0 are never taken.
+
+    Up to ``span`` the sum is the nearest there is. Above, it misses the goal by less than the least
+    size of which an item is left over, as that item would fit otherwise; so a sum that meets the goal
+    is proved to be the nearest, and no other can be nearer by that size or more.
     """
     order = sorted((n, c) for n, c in zip(sizes, counts, strict=True) if n > 0 and c > 0)
     total = sum(n * c for n, c in order)

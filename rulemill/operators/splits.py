@@ -11,8 +11,8 @@ from rulemill.operators.components import connected_components
 from rulemill.session import cut, table
 
 SPLITS = (("test", 0.1), ("val", 0.1), ("train", 0.8))
-#: Components of one size are taken in hashed cells, so that the many small ones share no task.
-SALTS = 16
+#: Components of one size are taken in hashed cells of at most about so many, so that the many small ones share no task.
+CELL_ROWS, LEAST_SALTS = 500_000, 16
 
 
 def document_links(questions: DataFrame) -> DataFrame:
@@ -81,7 +81,9 @@ def assign_splits(questions: DataFrame, seed: int = 42) -> DataFrame:
     """
     groups = cut(question_groups(questions))
     order = F.xxhash64(F.col("component"), F.lit(seed))
-    sizes = cut(groups.groupBy("component").agg(F.count("*").alias("size")).withColumn("salt", F.pmod(order, F.lit(SALTS)).cast("int")))
+    sizes = cut(groups.groupBy("component").agg(F.count("*").alias("size")))
+    salts = max(LEAST_SALTS, sizes.count() // CELL_ROWS)
+    sizes = sizes.withColumn("salt", F.pmod(order, F.lit(salts)).cast("int"))
     cells = sizes.groupBy("size", "salt").agg(F.count("*").alias("n"))
     plan = cells.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_choose, "size bigint, salt int, test bigint, val bigint")
     place = F.row_number().over(Window.partitionBy("size", "salt").orderBy(order, "component"))

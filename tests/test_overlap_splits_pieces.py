@@ -126,6 +126,15 @@ def test_subset_sum_is_nearest(cells, goal, over):
     assert abs(goal - got) == min(abs(goal - s) for s in allowed)
 
 
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 300), min_size=1, max_size=8), st.integers(0, 9_000))
+@settings(max_examples=150, deadline=None)
+def test_filled_subset_sum_keeps_its_bound(cells, goal):
+    take = nearest_subset(list(cells), list(cells.values()), goal, False, 64)
+    got, left = sum(n * k for n, k in take.items()), [n for n, c in cells.items() if take.get(n, 0) < c]
+    assert got <= goal and all(0 <= k <= cells[n] for n, k in take.items())
+    assert not left or goal - got < min(left)
+
+
 def test_large_subset_sum_fills():
     take = nearest_subset([700, 1100, 3], [4000, 4000, 50], 5_000_000)
     assert abs(sum(n * k for n, k in take.items()) - 5_000_000) <= 3
