@@ -16,8 +16,8 @@ from rulemill.functions.subset_sum import nearest_subset
 from rulemill.session import cut
 from rulemill.llm.tokenizers import DEFAULT_VOCABULARY, count_tokens
 
-#: Each (source, length) is split into so many hashed cells, so that copies of one text share no task.
-SALTS = 16
+#: Each (source, length) is split into hashed cells of at most about so many texts, so that copies of one text share no task.
+CELL_ROWS, LEAST_SALTS = 500_000, 16
 SEED = 42
 
 
@@ -74,7 +74,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str = DEFA
 
 def _choose(counted: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    counted = counted.withColumn("salt", F.pmod(order, F.lit(SALTS)).cast("int"))
+    salts = max(LEAST_SALTS, counted.count() // CELL_ROWS)
+    counted = counted.withColumn("salt", F.pmod(order, F.lit(salts)).cast("int"))
     sizes = counted.where("n_tokens > 0").groupBy("clean_source", "n_tokens", "salt").agg(F.count("*").alias("n_texts"))
     budgets = plan_mix(sizes, targets)
     plan = (
