@@ -30,14 +30,29 @@ def apply_sync(incoming: DataFrame, index: DataFrame) -> DataFrame:
     return kept.unionByName(incoming.select(*kept.columns))
 
 
+def _digest(batches):
+    import hashlib
+
+    import pyarrow as pa
+
+    sha, first = hashlib.sha256(), True
+    for batch in batches:
+        for line in batch.column(0).to_pylist():
+            if line is not None:
+                sha.update((line if first else "\n" + line).encode())
+                first = False
+    yield pa.RecordBatch.from_arrays([pa.array([sha.hexdigest()])], names=["version"])
+
+
 def index_version(index: DataFrame) -> DataFrame:
     """``version``: SHA-256 of the sorted ``id:hash`` lines of active chunks; that of the empty text if there are none.
 
-    One row of a document's digest per document would not give the same value, so the lines are
-    gathered: about 100 bytes per chunk, meant for indexes whose id list fits in one task.
+    The hash of one text needs its lines in order, so one task reads them, about 100 bytes per chunk: a
+    sort that spills, then a hash that takes line by line, in memory that does not grow.
     """
     lines = index.where("status = 'active'").select(F.concat_ws(":", "chunk_id", "content_hash").alias("x"))
-    return lines.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), "\n"), 256).alias("version"))
+    none = index.sparkSession.range(1).select(F.lit(None).cast("string").alias("x"))  # so that there is a row to read
+    return lines.union(none).repartition(1).sortWithinPartitions("x").mapInArrow(_digest, "version string")
 
 
 def apply_supersede(sources: DataFrame) -> DataFrame:

@@ -117,3 +117,13 @@ def p4_splits(spark, sf_dir: str) -> DataFrame:
 
 def p4_shares(spark, sf_dir: str) -> DataFrame:
     return split_report(assign_splits(table(spark, sf_dir, "synthetic_questions")))
+
+
+def p4_invariants(spark, sf_dir: str) -> DataFrame:
+    """``n_qids, n_twice, n_torn_documents, n_torn_passages`` of the whole assignment: all but the first must be 0."""
+    questions = table(spark, sf_dir, "synthetic_questions").where("qid is not null")
+    given = cut(assign_splits(questions).select("qid", "split"))
+    held = questions.select("qid", "doc_id", "pos_chunk_id").join(given, "qid", "left")
+    torn = [held.where(f"{c} is not null").groupBy(c).agg(F.countDistinct("split").alias("n")).agg(F.coalesce(F.sum((F.col("n") != 1).cast("bigint")), F.lit(0)).alias(name)) for c, name in (("doc_id", "n_torn_documents"), ("pos_chunk_id", "n_torn_passages"))]
+    whole = given.agg(F.countDistinct("qid").alias("n_qids"), (F.count("*") - F.countDistinct("qid")).alias("n_twice"))
+    return whole.crossJoin(F.broadcast(torn[0])).crossJoin(F.broadcast(torn[1]))  # one row each

