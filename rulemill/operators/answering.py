@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulemill.session import cut, written
+from rulemill.sources.io import cache_get, cache_put, read_log
+
 MAX_QUESTION_CHARS, PROMPT_VERSION = 500, "v3"
 NOT_FOUND = "Not found in the provided rule documents."
 #: Parts of messages of failures that are tried again (fixed values).
@@ -112,3 +115,21 @@ def answer(prompts: DataFrame, provider: Callable[[str, str], dict] = extractive
             yield pd.DataFrame(rows, columns=["qid", "answer", "found", "applies_to", "citations", "error"])
 
     return prompts.select("qid", "question", "context").mapInPandas(run, ANSWER_SCHEMA)
+
+
+def answer_cached(prompts: DataFrame, keys: DataFrame, cache_path: str, provider: Callable[[str, str], dict] = extractive) -> DataFrame:
+    """``answer`` for the prompts whose key the cache lacks, and the kept answers for the others; a column ``cached`` says which.
+
+    ``keys(qid, key)`` are those of ``cache_keys``. New answers are put into the cache, errors are not. A
+    missing cache is an empty one. Several questions of one key are asked once each and kept once.
+    """
+    spark = prompts.sparkSession
+    held = read_log(spark, cache_path, "key string, answer_json string, written timestamp") if written(spark, cache_path) else spark.createDataFrame([], "key string, answer_json string, written timestamp")
+    known = cut(cache_get(prompts.join(keys, "qid"), held))  # what is read must not be what is being written
+    body = ANSWER_SCHEMA.removeprefix("qid string, ").removesuffix(", error boolean")
+    hits = known.where("answer_json is not null").select("qid", F.from_json("answer_json", body).alias("a"))
+    kept = hits.select("qid", "a.*", F.lit(False).alias("error"), F.lit(True).alias("cached"))
+    made = cut(answer(known.where("answer_json is null").select("qid", "question", "context"), provider))
+    as_json = F.to_json(F.struct("answer", "found", "applies_to", "citations"))
+    cache_put(made.join(keys, "qid").select("key", as_json.alias("answer_json"), "error").dropDuplicates(["key"]), cache_path)
+    return kept.unionByName(made.withColumn("cached", F.lit(False)))

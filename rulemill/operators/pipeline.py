@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulemill.operators import answering, evaluation, planner, retrieval
+from rulemill.operators import answering, chunking, evaluation, planner, retrieval, segment, training
 
 STAGES = ("dense", "bm25", "hybrid")
 
@@ -71,10 +71,31 @@ def ranked(chunks: DataFrame, plans: DataFrame, first_stage: str = "dense", rera
     return retrieval.rerank(scored.select("qid", "rank", "chunk_id", "logit"))
 
 
-def ask(questions: DataFrame, chunks: DataFrame, sources: DataFrame, provider=answering.extractive, first_stage: str = "dense") -> DataFrame:
+def mine_negatives(plans: DataFrame, gold: DataFrame, chunks: DataFrame, first_stage: str = "bm25", version: str | None = None) -> DataFrame:
+    """``qid, chunk_id, n``: hard negatives of planned questions among the passages retrieved for them.
+
+    ``gold(qid, doc_id, clause)`` names the positives. Where the plan names no competition, passages as
+    near to a positive as a false negative would be are dropped; nearness is that of hashed vectors.
+    Questions without positives keep all their candidates; those without candidates have no rows.
+    """
+    top = retrieve(chunks, plans, first_stage, version=version).select("qid", "rank", "chunk_id")
+    positives = training.positive_chunks(gold, chunks).join(plans.select("qid"), "qid", "left_semi")
+    needed = top.select("chunk_id").union(positives.select("chunk_id")).distinct()
+    vectors = retrieval.hashed_vectors(chunks.select("chunk_id", "text").join(needed, "chunk_id", "left_semi").select(F.col("chunk_id").alias("key"), "text"))
+    a, b = vectors.select(F.col("key").alias("chunk_id"), F.col("vector").alias("a")), vectors.select(F.col("key").alias("p"), F.col("vector").alias("b"))
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    near = top.join(positives.withColumnRenamed("chunk_id", "p"), "qid").join(a, "chunk_id").join(b, "p").groupBy("qid", "chunk_id").agg(F.round(F.max(dot), 6).alias("similarity"))
+    rows = top.join(near, ["qid", "chunk_id"], "left").join(positives.withColumn("positive", F.lit(True)), ["qid", "chunk_id"], "left")
+    rows = rows.join(plans.select("qid", F.col("competition").isNotNull().alias("named")), "qid")
+    ranked_rows = rows.select(F.col("qid").alias("query"), "rank", F.col("chunk_id").alias("key"), F.coalesce("positive", F.lit(False)).alias("positive"), "named", "similarity")
+    return training.hard_negatives(ranked_rows).select(F.col("query").alias("qid"), F.col("key").alias("chunk_id"), "n")
+
+
+def ask(questions: DataFrame, chunks: DataFrame, sources: DataFrame, provider=answering.extractive, first_stage: str = "dense", cache: str | None = None, version: str = "unversioned") -> DataFrame:
     """``qid, competition, answer, found, n_citations, n_invalid, citation_valid, context_ids`` of ``questions(qid, question, override)``.
 
     Null and repeated questions are answered like others; overlong ones are not found, with a valid citation state.
+    With a ``cache`` folder, answers of the same question, context and index version are read from it, and new ones put there.
     """
     plans = planner.plan(questions)
     rows = ranked(chunks, plans, first_stage)
@@ -83,7 +104,8 @@ def ask(questions: DataFrame, chunks: DataFrame, sources: DataFrame, provider=an
     compared = plans.where("compared is not null").select("qid", F.posexplode("compared").alias("position", "competition"))
     context = retrieval.select_context(wide.select("qid", "rank", "chunk_id", "competition", "gender", "clause_title", "women"), compared)
     text = answering.format_context(context, about.select("chunk_id", "doc_id", "clause", "page_start", "text"), sources)
-    answers = answering.answer(questions.select("qid", "question").join(text, "qid", "left"), provider)
+    prompts = questions.select("qid", "question").join(text, "qid", "left")
+    answers = answering.answer_cached(prompts, answering.cache_keys(questions, context, version), cache, provider) if cache else answering.answer(prompts, provider)
     cites = answers.select("qid", F.posexplode("citations").alias("n", "c")).select("qid", "n", "c.doc_id", "c.clause", "c.page")
     checked = answering.validate(answers, answering.match_citations(cites, context.join(about.select("chunk_id", "doc_id", "clause", "page_start", "page_end"), "chunk_id")))
     ids = context.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("context_ids"))  # k at most
@@ -108,3 +130,8 @@ def evaluate(golden: DataFrame, chunks: DataFrame, configs=CONFIGS) -> DataFrame
         part = evaluation.retrieval_metrics(ranks, "type").withColumn("config", F.lit(c.name))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def ingest(pages: DataFrame, sources: DataFrame) -> DataFrame:
+    """Chunks of whole documents: ``pages(doc_id, page, text)`` segmented into clauses and built into chunks of the registry's documents."""
+    return chunking.build_chunks(segment.segment_documents(pages), sources)

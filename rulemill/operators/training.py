@@ -80,6 +80,11 @@ def hard_negatives(ranked: DataFrame, keep: int = NEGATIVES, false_negative: flo
     return rows.withColumn("n", n.cast("bigint")).where(F.col("n") <= keep).select("query", "key", "n")
 
 
+def positive_chunks(gold: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``qid, chunk_id``: the chunks of the document and clause that ``gold(qid, doc_id, clause)`` names; null fields name none."""
+    return gold.select("qid", "doc_id", "clause").join(chunks.select("chunk_id", "doc_id", "clause"), ["doc_id", "clause"]).select("qid", "chunk_id").distinct()
+
+
 def group_split(groups: DataFrame, share: float = TRAIN_SHARE, seed: int = SUBSET_SEED, salts: int = 256) -> DataFrame:
     """``grp, split``: distinct groups in seeded hash order, the first ``share`` (half to even) train, the rest val.
 

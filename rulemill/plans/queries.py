@@ -372,6 +372,11 @@ def hard_negatives(s: SparkSession, d: str) -> DataFrame:
     return training.hard_negatives(rows)
 
 
+def mined_passages(s: SparkSession, d: str) -> DataFrame:
+    """Hard negatives of the golden questions among all passages."""
+    return pipeline.mine_negatives(asked(s, d), _gold(s, d), chunks(s, d), version=_version(s, d))
+
+
 def stratified_subset(s: SparkSession, d: str) -> DataFrame:
     return training.stratified_subset(chunks(s, d).select("chunk_id", "doc_id"))
 
@@ -403,7 +408,7 @@ NAMES = (
     context_format, citation_matches, citation_validation, answer_metrics, answer_cache_key, extractive_answers, eval_hit_rank, eval_metrics_by_type, eval_failures, eval_configs, ask_pipeline, latency_percentiles,
     repeated_lines, cleaned_pages, normalized_lines, heading_lines, monotone_headings, dedupe_longest, segment_clauses, chunk_build, chunk_headers, chunk_stats, chunk_batches, chunk_metadata,
     index_sync_actions, index_version, supersede, status_changes, merge_sources, manifest_changes, affected_documents, reingest_exclude, resume_remaining,
-    query_plan_rules, title_metadata, keyword_filter, leakage_guard, hard_negatives, stratified_subset, competition_labels, group_split, training_rows, evaluator_groups, dataset_info,
+    query_plan_rules, title_metadata, keyword_filter, leakage_guard, hard_negatives, mined_passages, stratified_subset, competition_labels, group_split, training_rows, evaluator_groups, dataset_info,
     p3_found, p3_report, p4_found, p4_splits, p4_shares, p4_invariants, p5_found, p5_pieces, p5_rejoined, p6_found, p6_groups,
 )
 
