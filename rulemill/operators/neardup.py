@@ -1,20 +1,23 @@
 """Near-duplicate passages with small edits (problem 6).
 
-Plan: (1) per text min-hash band keys and a sketch of two-bit min-hashes, over all its shingles,
-packed into one row per block of texts and part of the keys; (2) texts that share a band key meet in
-one task and are compared tile by tile with exclusive-or and bit counts, pairs of tiles whose shingle
-counts differ beyond the radius being skipped; (3) the surviving pairs are verified exactly on their
-texts. Equal texts are one class from the start. An exact search compares all tiles, by bitmaps whose
-differing bits never outnumber the differing shingles.
+Plan: (1) per text a signature of four-bit min-hashes and the keys of some roots, pairs of min-hashes,
+over all its shingles, kept in one row per block of texts; (2) texts that share a root meet in one
+task, a few roots at a time. Within a root's group only texts that also agree in some set of places of
+the signature are compared, by exclusive-or and bit counts; small groups, and those in which that saves
+nothing, are compared tile by tile, pairs of tiles whose shingle counts differ beyond the radius being
+skipped; (3) the surviving pairs are verified exactly on their texts. Equal texts are one class from the
+start. An exact search compares all tiles, by bitmaps whose differing bits never outnumber the
+differing shingles.
 
 No shingle is left out as frequent: wording that many texts have may be all that two of them share.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,23 +25,27 @@ from pyspark.sql import functions as F
 from rulemill.functions.codepoints import blocks, codepoints, mix64, segment_hashes, words
 from rulemill.functions.texts import passage
 from rulemill.operators.components import connected_components
-from rulemill.session import cut, semi_join_sized, shuffle_partitions, table
+from rulemill.session import cut, release, shuffle_partitions, table
 
 SHINGLE, SIMILARITY, LEAST_WORDS = 3, 0.5, 40
-#: Bands of min-hashes; texts of similarity s meet with 1 - (1 - s**ROWS)**BANDS.
-BANDS, ROWS = 30, 3
-#: Two-bit min-hashes of the sketch, those of the bands first; pairs that agree in fewer than AGREE
-#: are not similar (a pair of similarity 0.5 exactly does so with 1.3e-3, one of 0.55 with 6e-5).
-SKETCH, AGREE = 128, 64
-#: Rows of a tile, and rows of a band key above which it is spread over a grid of tasks.
-TILE, HOT = 512, 20_000
-#: Band keys that one task compares (about 100 MB) and pairs that one task verifies, about; the number of tasks grows with both.
-TASK_ROWS, TASK_PAIRS = 2_000_000, 20_000
+#: Roots, min-hashes of each, and roots that are dealt out at once (their rows are on disk together).
+ROOTS, ROWS, ROUND = 24, 2, 8
+#: Four-bit min-hashes of the signature; pairs that agree in fewer than AGREE are not similar (a pair of
+#: similarity 0.5 exactly does so with 1e-3), nor those in fewer than AGREE_HALF of the first 32.
+PLACES, AGREE, AGREE_HALF = 96, 36, 6
+#: Sets of places of each root, and places of a set; texts of one set agree in its places by selection, so that more must.
+SETS, SET, AGREE_SET = 64, 5, 39
+#: Rows of a root's group up to which all are compared, and sets from which the others' pairs are estimated.
+DIRECT, TRIED = 400, 4
+#: Rows of a tile, and rows of a group above which it is spread over a grid of tasks (in an exact search: EXACT_ROWS).
+TILE, HOT, EXACT_ROWS = 512, 200_000, 20_000
+#: Texts that one task compares and pairs that one task verifies, about; the number of tasks grows with both.
+TASK_ROWS, TASK_PAIRS = 250_000, 20_000
 #: Characters of texts that are sketched and packed at once.
 BLOCK = 4_000_000
 #: 64-bit words of a bitmap in an exact search.
 BITMAP = 8
-#: One text in so many is looked at to find hot keys; that decides the spread, not the result.
+#: One text in so many is looked at to find large groups; that decides the spread, not the result.
 HOT_SAMPLE = 64
 WORD_BASE, SEED = 0x5851F42D4C957F2D, 20_240_611
 
@@ -88,7 +95,7 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE):
 @lru_cache(maxsize=1)
 def _factors() -> np.ndarray:
     """A mask and an odd factor for each hash function."""
-    pairs = np.random.default_rng(SEED).integers(1, 2**63, size=(max(BANDS * ROWS, SKETCH), 2), dtype=np.uint64)
+    pairs = np.random.default_rng(SEED).integers(1, 2**63, size=(PLACES + ROOTS * ROWS, 2), dtype=np.uint64)
     pairs[:, 1] = pairs[:, 1] * np.uint64(2) + np.uint64(1)
     return pairs
 
@@ -104,12 +111,26 @@ def _minima(s: np.ndarray, offsets: np.ndarray, factors: np.ndarray) -> np.ndarr
     return out
 
 
-#: Columns of a packed block of texts for one part of the band keys.
-PACKED = "part int, ids binary, sizes binary, sketch binary, who binary, keys binary"
-#: Of a packed text number: the key is off the diagonal of its grid, and which of the two salts the text has.
+@lru_cache(maxsize=ROOTS)
+def _sets(root: int) -> np.ndarray:
+    """The sets of places that a root's group is divided by; each root has its own, so that a pair missed by one is met by another."""
+    rng = np.random.default_rng((SEED, root))
+    return np.array([rng.choice(PLACES, SET, replace=False) for _ in range(SETS)])
+
+
+#: Columns of a block of texts, and of what it deals to one part.
+STORED = "ids binary, sizes binary, signs binary, roots binary"
+PACKED = "part int, ids binary, sizes binary, signs binary, keys binary"
+#: Of a packed shingle count: the row is off the diagonal of its group's grid, and which of the two salts the text has.
 OFF, SIDE = np.uint32(1 << 31), np.uint32(1 << 30)
 
 
+def _arrays(batch, first: int, kinds):
+    """The arrays of each row of a batch, from column ``first`` on."""
+    for i in range(batch.num_rows):
+        yield [np.frombuffer(batch.column(first + k)[i].as_buffer(), dtype=t) for k, t in enumerate(kinds)]
+
+
 def bitmaps(s: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A bitmap of each set in which every member turns one bit over; two sets differ in as many members as bits, at least."""
     bit = (mix64(s) >> np.uint64(40)) % np.uint64(64 * BITMAP)
@@ -119,13 +140,13 @@ def bitmaps(s: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Sketches:
-    """Packed band keys, ids, shingle counts and sketches of the texts, one row per block of texts and part of the keys.
+    """Ids, shingle counts, signatures and root keys of the texts, one row per block of texts.
 
-    In an exact search there is one key, which all texts have, and bitmaps stand for sketches.
+    In an exact search there is one root, whose key all texts have, and bitmaps stand for signatures.
     """
 
-    def __init__(self, parts: int, hot, least_words: int, exact: int = 0, keys_only: bool = False):
-        self.parts, self.hot, self.least_words, self.exact, self.keys_only = parts, hot, least_words, exact, keys_only
+    def __init__(self, least_words: int, exact: bool = False):
+        self.least_words, self.exact = least_words, exact
 
     def __call__(self, batches):
         seen: set[int] = set()
@@ -140,150 +161,227 @@ class Sketches:
                 size = np.diff(offsets)
                 use = np.array(fresh, dtype=bool) & (n_words >= self.least_words) & (size > 0)
                 if use.any():
-                    yield from self._emit(ids[a:b][use], s[np.repeat(use, size)], size[use])
+                    yield self._block(ids[a:b][use], s[np.repeat(use, size)], size[use])
 
-    def _emit(self, ids, s, size):
+    def _block(self, ids, s, size):
         offsets = np.concatenate([[0], np.cumsum(size)])
         if self.exact:
-            key, sketch = np.zeros((len(ids), 1), dtype=np.uint64), bitmaps(s, offsets)
+            root, sign = np.zeros((len(ids), 1), dtype=np.uint32), bitmaps(s, offsets)
         else:
-            low = _minima(s, offsets, _factors())
-            bands = low[:, : BANDS * ROWS].reshape(len(ids), BANDS, ROWS)
-            key = np.zeros((len(ids), BANDS), dtype=np.uint64)
+            low = mix64(_minima(s, offsets, _factors()))
+            pairs = low[:, PLACES:].reshape(len(ids), ROOTS, ROWS)
+            key = np.zeros((len(ids), ROOTS), dtype=np.uint64)
             for r in range(ROWS):
-                key = mix64(key + bands[:, :, r])
-            key = mix64(key + np.arange(BANDS, dtype=np.uint64))
-            if self.keys_only:
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64))], names=["key"])
-                return
-            two = ((mix64(low[:, :SKETCH]) >> np.uint64(11)).astype(np.uint8) & np.uint8(3)) << np.tile(np.arange(0, 8, 2, dtype=np.uint8), SKETCH // 4)
-            sketch = np.bitwise_or.reduce(two.reshape(len(ids), -1, 4), axis=2).view(np.uint64)
-        who = np.repeat(np.arange(len(ids), dtype=np.uint32), key.shape[1])
-        key, who = self._spread(ids, key.ravel(), who)
-        part = ((key >> np.uint64(32)) % np.uint64(self.parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        part, key, who = part[order], key[order].astype(np.uint32), who[order]
-        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-        cols: list[list] = [[] for _ in range(6)]
-        for x, y in zip(edges[:-1], edges[1:]):
-            flags = who[x:y] & (OFF | SIDE)
-            held, local = np.unique(who[x:y] & ~(OFF | SIDE), return_inverse=True)
-            for c, v in zip(cols, (int(part[x]), ids[held].tobytes(), size[held].astype(np.int32).tobytes(), sketch[held].tobytes(), (local.astype(np.uint32) | flags).tobytes(), key[x:y].tobytes())):
-                c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "ids", "sizes", "sketch", "who", "keys"])
-
-    def _spread(self, ids, key, who):
-        """Keys made even; a hot key becomes the keys of the grid cells in which its text has to be."""
-        keys, salts = (np.zeros(1, np.uint64), np.array([self.exact])) if self.exact else self.hot.value if self.hot is not None else (np.zeros(0, np.uint64), np.zeros(0))
-        if not len(keys):
-            return mix64(key), who
+                key = mix64(key + pairs[:, :, r])
+            root = (key >> np.uint64(32)).astype(np.uint32)
+            four = (low[:, :PLACES] >> np.uint64(11)).astype(np.uint8) & np.uint8(15)
+            sign = four[:, ::2] | four[:, 1::2] << np.uint8(4)
+        row = (ids.tobytes(), size.astype(np.uint32).tobytes(), np.ascontiguousarray(sign).tobytes(), np.ascontiguousarray(root.T).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["ids", "sizes", "signs", "roots"])
+
+
+class SampledRoots:
+    """Root keys of one text in HOT_SAMPLE."""
+
+    def __call__(self, batches):
+        for batch in batches:
+            for ids, roots in _arrays(batch.select(["ids", "roots"]), 0, (np.int64, np.uint32)):
+                key = roots.reshape(-1, len(ids))[:, mix64(ids.view(np.uint64)) % np.uint64(HOT_SAMPLE) == 0]
+                at = np.repeat(np.arange(len(key), dtype=np.int32), key.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(key.ravel().astype(np.int64))], names=["root", "key"])
+
+
+class Deal:
+    """Each block's texts by part: every root has ``each`` parts, a text is in one of them (in several if its group is spread)."""
+
+    def __init__(self, first: int, last: int, each: int, hot: dict):
+        self.first, self.last, self.each, self.hot = first, last, each, hot
+
+    def __call__(self, batches):
+        for batch in batches:
+            for ids, size, sign, roots in _arrays(batch, 0, (np.int64, np.uint32, np.uint64, np.uint32)):
+                sign, roots = sign.reshape(len(ids), -1), roots.reshape(-1, len(ids))
+                cols: list[list] = [[] for _ in range(5)]
+                for i in range(self.first, self.last):
+                    key, who, flags = self._spread(i, ids, roots[i])
+                    part = ((mix64(key) >> np.uint64(20)) % np.uint64(self.each)).astype(np.int64)
+                    order = np.argsort(part, kind="stable")
+                    part, key, who, flags = part[order], key[order], who[order], flags[order]
+                    edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+                    for x, y in zip(edges[:-1], edges[1:]):
+                        own = who[x:y]
+                        for c, v in zip(cols, (int(part[x]) + (i - self.first) * self.each, ids[own].tobytes(), (size[own] | flags[x:y]).tobytes(), sign[own].tobytes(), key[x:y].tobytes())):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "ids", "sizes", "signs", "keys"])
+
+    def _spread(self, root, ids, key):
+        """Keys, texts and flags; the key of a large group becomes the keys of the grid cells in which its text has to be."""
+        who, none = np.arange(len(ids)), np.zeros(len(ids), dtype=np.uint32)
+        if root not in self.hot:
+            return key, who, none
+        keys, salts = self.hot[root]
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         hit = keys[at] == key
-        n = salts[at[hit]].astype(np.uint64)
-        mine = mix64(ids.view(np.uint64)[who[hit]]) % n
-        row = np.repeat(np.arange(len(n)), n.astype(np.int64))
-        other = (np.arange(len(row)) - np.repeat(np.cumsum(n).astype(np.int64) - n.astype(np.int64), n.astype(np.int64))).astype(np.uint64)
+        n = salts[at[hit]].astype(np.int64)
+        mine = mix64(ids.view(np.uint64)[hit]) % n.astype(np.uint64)
+        row = np.repeat(np.arange(len(n)), n)
+        other = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
         first, second = np.minimum(mine[row], other), np.maximum(mine[row], other)
-        cell = mix64(mix64(key[hit][row]) + mix64(first * np.uint64(1_000_003) + second + np.uint64(1)))
-        off = first != second
-        flags = np.where(off, OFF | np.where(mine[row] == first, SIDE, np.uint32(0)), np.uint32(0)).astype(np.uint32)
-        return np.concatenate([mix64(key[~hit]), cell]), np.concatenate([who[~hit], who[hit][row] | flags])
+        cell = (mix64(mix64(key[hit][row]) + mix64(first * np.uint64(1_000_003) + second + np.uint64(1))) >> np.uint64(32)).astype(np.uint32)
+        flags = np.where(first != second, OFF | np.where(mine[row] == first, SIDE, np.uint32(0)), np.uint32(0)).astype(np.uint32)
+        return np.concatenate([key[~hit], cell]), np.concatenate([who[~hit], who[hit][row]]), np.concatenate([none[~hit], flags])
 
 
-ONES = np.uint64(0x5555555555555555)
+LOWEST = np.uint64(0x1111111111111111)
 
 
-def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal two-bit values of two arrays of sketches: exclusive-or, then a count of the values that are not zero."""
-    out = np.full(np.broadcast_shapes(a.shape, b.shape)[:-1], SKETCH, dtype=np.int16)
-    for k in range(a.shape[-1]):
-        x = a[..., k] ^ b[..., k]
-        x |= x >> np.uint64(1)
-        x &= ONES
-        out -= np.bitwise_count(x)
-    return out
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing four-bit values of two arrays of words: exclusive-or, then a count of the values that are not zero."""
+    x = a ^ b
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    x &= LOWEST
+    return np.bitwise_count(x)
+
+
+#: Bits of a row's number, and of its values in a set, where rows are sorted by group and set.
+ROW_BITS, SET_BITS = 22, 4 * SET
 
 
 class Tiles:
-    """Compares the texts of each band key; yields candidate pairs of ids, smaller first."""
+    """Compares the texts of each root's group; yields candidate pairs of ids, smaller first."""
 
-    def __init__(self, similarity: float, exact: bool = False):
-        self.similarity, self.exact = similarity, exact
+    def __init__(self, similarity: float, first: int, each: int, exact: bool = False):
+        self.similarity, self.first, self.each, self.exact = similarity, first, each, exact
 
     def __call__(self, batches):
-        held: list[tuple] = []
-        base = 0
+        held: dict[int, list] = {}
         for batch in batches:
-            part = batch.column(0).to_pylist()
-            for i in range(batch.num_rows):
-                ids, size, sketch, who, key = (np.frombuffer(batch.column(k + 1)[i].as_buffer(), dtype=t) for k, t in enumerate((np.int64, np.int32, np.uint64, np.uint32, np.uint32)))
-                flags = who & (OFF | SIDE)
-                held.append((ids, size, sketch.reshape(len(ids), -1), (who & ~(OFF | SIDE)).astype(np.int64) + base, (flags >> np.uint32(30)).astype(np.int8), key.astype(np.uint64) | np.uint64(part[i]) << np.uint64(32)))
-                base += len(ids)
-        if not held:
+            for part, arrays in zip(batch.column(0).to_pylist(), _arrays(batch, 1, (np.int64, np.uint32, np.uint64, np.uint32))):
+                held.setdefault(part, []).append((*arrays[:2], arrays[2].reshape(len(arrays[0]), -1), arrays[3]))
+        while held:
+            part, rows = held.popitem()
+            ids, size, sign, key = (np.concatenate(x) for x in zip(*rows))
+            del rows
+            pairs: list[np.ndarray] = []
+            many = 0
+            for found in self._part(self.first + part // self.each, ids, size, sign, key):
+                pairs.append(found)
+                many += len(found)
+                if many > 500_000:
+                    yield self._rows(pairs)
+                    pairs, many = [], 0
+            if many:
+                yield self._rows(pairs)
+
+    def _part(self, root, ids, size, sign, key):
+        flag, size = (size >> np.uint32(30)).astype(np.int8), (size & (SIDE - np.uint32(1))).astype(np.int32)
+        order = np.lexsort((ids, size, key))
+        same = (key[order][1:] == key[order][:-1]) & (ids[order][1:] == ids[order][:-1])
+        order = order[np.concatenate([[True], ~same])]  # a text that several tasks have read
+        same = key[order][1:] == key[order][:-1]
+        order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        if not len(order):
             return
-        self.ids, self.size, self.sketch, who, flag, key = (np.concatenate(x) for x in zip(*held))
-        del held
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        same = key[1:] == key[:-1]
-        met = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        order, key = order[met], key[met]
-        self.who, self.flag = who[order], flag[order]
-        by_size = np.lexsort((self.size[self.who], key))
-        self.who, self.flag, key = self.who[by_size], self.flag[by_size], key[by_size]
-        yield from self._runs(key)
-
-    def _runs(self, key):
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+        self.ids, self.size, self.flag, key = ids[order], size[order], flag[order], key[order]
+        self.spread = bool(self.flag.any())
+        self.words = [np.ascontiguousarray(sign[order, k]) for k in range(sign.shape[1])]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         length = np.diff(np.append(begin, len(key)))
-        pairs: list[np.ndarray] = []
-        held = 0
-        small = length <= 64
-        end_of = np.repeat(begin + length, length)
-        at = np.flatnonzero(np.repeat(small, length))
-        for d in range(1, int(length[small].max(initial=1))):  # all short runs at once, by distance
-            at = at[at + d < end_of[at]]
-            pairs.append(self._close(at, at + d))
-        for r in np.flatnonzero(~small):
-            lo, hi = int(begin[r]), int(begin[r] + length[r])
-            size = self.size[self.who[lo:hi]]
-            for a in range(lo, hi, TILE):
-                for b in range(a, hi, TILE):
-                    if size[b - lo] * self.similarity > size[min(a + TILE, hi) - 1 - lo] + 2:
-                        break  # counts ascend: this and all later tiles are beyond the radius
-                    i, j = np.arange(a, min(a + TILE, hi)), np.arange(b, min(b + TILE, hi))
-                    x, y = np.nonzero(self._alike(self.who[i][:, None], self.who[j][None, :]))
-                    x, y = i[x], j[y]
-                    ok = x < y
-                    pairs.append(self._close(x[ok], y[ok]))
-                    held += len(pairs[-1])
-                    if held > 500_000:
-                        yield self._rows(pairs)
-                        pairs, held = [], 0
-        if pairs:
-            yield self._rows(pairs)
-
-    def _alike(self, i, j):
-        """Whether the sketches of texts ``i`` and ``j`` may be those of similar texts."""
-        if not self.exact:
-            return agreements(self.sketch[i], self.sketch[j]) >= AGREE
-        differ = np.zeros(np.broadcast_shapes(i.shape, j.shape), dtype=np.int32)
-        for k in range(self.sketch.shape[1]):
-            differ += np.bitwise_count(self.sketch[i, k] ^ self.sketch[j, k])
-        # shortened hashes may make a set seem a little smaller than it is
-        return differ <= (self.size[i] + self.size[j] + 4) * ((1 - self.similarity) / (1 + self.similarity))
-
-    def _close(self, i, j):
-        a, b = self.who[i], self.who[j]
-        ok = (self.size[a] + 2 >= self.similarity * self.size[b]) & (self.size[b] + 2 >= self.similarity * self.size[a]) & (self.ids[a] != self.ids[b])
-        # off the diagonal of a hot key's grid only pairs across the two salts count
-        ok &= (self.flag[i] == 0) | (self.flag[i] != self.flag[j])
-        a, b = a[ok], b[ok]
-        found = [np.zeros(0, dtype=bool)]
-        found += [self._alike(a[x : x + 1_000_000], b[x : x + 1_000_000]) for x in range(0, len(a), 1_000_000)]
-        ok = np.concatenate(found)
-        a, b = self.ids[a[ok]], self.ids[b[ok]]
+        small = length <= DIRECT
+        yield from self._runs(np.arange(len(key)), begin[small], length[small], AGREE)
+        begin, length = begin[~small], length[~small]
+        dense = np.ones(len(begin), dtype=bool)
+        lo = 0
+        while lo < len(begin) and not self.exact:
+            hi = max(lo + 1, int(np.searchsorted(np.cumsum(length[lo:]), 1 << (ROW_BITS - 1), side="right")) + lo)
+            dense[lo:hi] = yield from self._by_sets(_sets(root), begin[lo:hi], length[lo:hi])
+            lo = hi
+        for lo, n in zip(begin[dense].tolist(), length[dense].tolist()):
+            yield from self._all(lo, lo + n)
+
+    def _by_sets(self, sets, begin, length):
+        """Compares the rows of each group that agree in a set of places; returns the groups in which that saves nothing."""
+        dense = length >= 1 << ROW_BITS
+        met = np.zeros(len(length))
+        for tried in (True, False):  # first the pairs of some sets are counted
+            rows = np.concatenate([np.zeros(0, dtype=np.int64), *(np.arange(b, b + n) for b, n in zip(begin[~dense].tolist(), length[~dense].tolist()))])
+            if not len(rows):
+                break
+            group = np.repeat(np.flatnonzero(~dense), length[~dense]).astype(np.uint64) << np.uint64(ROW_BITS + SET_BITS) | np.arange(len(rows), dtype=np.uint64)
+            octets = np.concatenate([np.ascontiguousarray(w[rows].view(np.uint8).reshape(-1, 8).T) for w in self.words])
+            for places in sets[:TRIED] if tried else sets:
+                value = np.zeros(len(rows), dtype=np.uint32)
+                for p in places.tolist():
+                    value = value << np.uint32(4) | (octets[p >> 1] >> np.uint8(4 * (p & 1)) & np.uint8(15))
+                order = np.sort(group | value.astype(np.uint64) << np.uint64(ROW_BITS))
+                kind = order >> np.uint64(ROW_BITS)
+                edge = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1], [True]]))
+                start, n = edge[:-1], np.diff(edge)
+                start, n = start[n > 1], n[n > 1]
+                if tried:
+                    np.add.at(met, (kind[start] >> np.uint64(SET_BITS)).astype(np.int64), n * (n - 1.0) / 2)
+                else:
+                    yield from self._runs(rows[(order & np.uint64((1 << ROW_BITS) - 1)).astype(np.int64)], start, n, AGREE_SET)
+            if tried:
+                dense |= met * (len(sets) / TRIED) + length * float(DIRECT / 2) >= length * (length - 1.0) / 2
+        return dense
+
+    def _runs(self, rows, begin, length, least):
+        """All pairs of each run of rows, all runs at once, by distance."""
+        at = np.concatenate([np.zeros(0, dtype=np.int64), np.repeat(begin, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)])
+        end = np.repeat(begin + length, length)
+        for d in range(1, int(length.max(initial=1))):
+            on = at + d < end
+            at, end = at[on], end[on]
+            for x in range(0, len(at), 1_000_000):
+                found = self._close(rows[at[x : x + 1_000_000]], rows[at[x : x + 1_000_000] + d], least)
+                if len(found):
+                    yield found
+
+    def _all(self, lo, hi):
+        """All pairs of a group, tile by tile."""
+        size = self.size
+        for a in range(lo, hi, TILE):
+            for b in range(a, hi, TILE):
+                i, j = slice(a, min(a + TILE, hi)), slice(b, min(b + TILE, hi))
+                if size[b] * self.similarity > size[i.stop - 1] + 2:
+                    break  # counts ascend: this and all later tiles are beyond the radius
+                if self.exact:
+                    differ = np.zeros((i.stop - a, j.stop - b), dtype=np.int32)
+                    for w in self.words:
+                        differ += np.bitwise_count(w[i][:, None] ^ w[j][None, :])
+                    # shortened hashes may make a set seem a little smaller than it is
+                    ok = differ <= (size[i][:, None] + size[j][None, :] + 4) * ((1 - self.similarity) / (1 + self.similarity))
+                else:
+                    differ = np.zeros((i.stop - a, j.stop - b), dtype=np.uint8)
+                    for w in self.words:
+                        differ += differing(w[i][:, None], w[j][None, :])
+                    ok = differ <= PLACES - AGREE
+                x, y = np.nonzero(ok)
+                x, y = x + a, y + b
+                found = self._pairs(x[x < y], y[x < y])
+                if len(found):
+                    yield found
+
+    def _close(self, i, j, least):
+        if self.exact:
+            differ = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int32) for w in self.words)
+            ok = differ <= (self.size[i] + self.size[j] + 4) * ((1 - self.similarity) / (1 + self.similarity))
+            return self._pairs(i[ok], j[ok])
+        half = differing(self.words[0][i], self.words[0][j]) + differing(self.words[1][i], self.words[1][j])
+        ok = np.flatnonzero(half <= 32 - AGREE_HALF)
+        i, j, half = i[ok], j[ok], half[ok]
+        for w in self.words[2:]:
+            half += differing(w[i], w[j])
+        ok = half <= PLACES - least
+        return self._pairs(i[ok], j[ok])
+
+    def _pairs(self, i, j):
+        ok = (self.size[i] + 2 >= self.similarity * self.size[j]) & (self.size[j] + 2 >= self.similarity * self.size[i])
+        if self.spread:  # off the diagonal of a grid only pairs across the two salts count
+            ok &= (self.flag[i] == 0) | (self.flag[i] != self.flag[j])
+        a, b = self.ids[i[ok]], self.ids[j[ok]]
         return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
     @staticmethod
@@ -336,6 +434,30 @@ def _classes(items: DataFrame) -> DataFrame:
     return items.select(F.xxhash64("text").alias("id"), "text")
 
 
+def _halves(batches):
+    """The upper halves of all ids of a partition, packed."""
+    held = [np.zeros(0, dtype=np.uint32)]
+    for batch in batches:
+        held += [(c.to_numpy().view(np.uint64) >> np.uint64(32)).astype(np.uint32) for c in batch.columns]
+    yield pa.RecordBatch.from_arrays([pa.array([np.unique(np.concatenate(held)).tobytes()], pa.binary())], names=["ids"])
+
+
+def _among(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts that ``pairs`` name, and about one in a thousand more, without a shuffle of the others.
+
+    Ids are told by their upper halves, 4 bytes each in the driver and in every worker; joins by the whole id follow.
+    """
+    packed = pairs.select("id_a", "id_b").mapInArrow(_halves, "ids binary").collect()
+    named = texts.sparkSession.sparkContext.broadcast(np.unique(np.concatenate([np.zeros(0, dtype=np.uint32), *(np.frombuffer(r[0], dtype=np.uint32) for r in packed)])))
+
+    @F.pandas_udf("boolean")
+    def known(ids: pd.Series) -> pd.Series:
+        half = (ids.to_numpy().view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+        return pd.Series(np.append(named.value, np.uint64(1 << 32))[np.searchsorted(named.value, half)] == half)
+
+    return texts.where(known("id"))
+
+
 def similar_classes(items: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pairs ``id_a, id_b, similarity`` of classes of equal texts, and the members ``id, key`` of all classes that were looked at.
 
@@ -349,22 +471,28 @@ def similar_classes(items: DataFrame, similarity: float = SIMILARITY, least_word
     spark = items.sparkSession
     n_texts = items.select(F.lit(1)).count()  # texts are not read for this
     eligible = _classes(items.where("text is not null")).where(F.length("text") >= 2 * least_words - 1)
-    grid = -(-n_texts // HOT) if exact else 0
-    parts = max(shuffle_partitions(spark), grid * (grid + 1) // 2 if exact else n_texts * BANDS // TASK_ROWS)
-    hot = None
-    if not exact:
-        sampled = _classes(items.where(F.pmod(F.xxhash64("key"), F.lit(HOT_SAMPLE)) == 0).where(F.length("text") >= 2 * least_words - 1))
-        often = sampled.mapInArrow(Sketches(1, None, least_words, 0, True), "key bigint").groupBy("key").count().where(F.col("count") * HOT_SAMPLE > HOT)
-        found = sorted((r[0] & (2**64 - 1), -(-r[1] * HOT_SAMPLE // HOT) + 1) for r in often.collect())  # few: each holds HOT rows of the bands
-        hot = spark.sparkContext.broadcast((np.array([k for k, _ in found], dtype=np.uint64), np.array([n for _, n in found], dtype=np.int64)))
-    rows = eligible.mapInArrow(Sketches(parts, hot, least_words, grid), PACKED)
-    met = rows.repartitionById(parts, F.col("part")).mapInArrow(Tiles(similarity, exact), "id_a bigint, id_b bigint").distinct()
+    stored = cut(eligible.mapInArrow(Sketches(least_words, exact), STORED))
+    if exact:
+        grid = -(-n_texts // min(HOT, EXACT_ROWS))
+        hot, roots, each = {0: (np.zeros(1, dtype=np.uint32), np.array([grid]))}, 1, max(shuffle_partitions(spark), grid * (grid + 1) // 2)
+    else:
+        often = stored.mapInArrow(SampledRoots(), "root int, key bigint").groupBy("root", "key").count().where(F.col("count") * HOT_SAMPLE > HOT)
+        found = sorted((r[0], r[1], -(-r[2] * HOT_SAMPLE // HOT) + 1) for r in often.collect())  # few: each holds HOT rows of its root
+        hot = {i: (np.array([k for x, k, _ in found if x == i], dtype=np.uint32), np.array([n for x, _, n in found if x == i])) for i in {x for x, _, _ in found}}
+        roots, each = ROOTS, max(1, -(-shuffle_partitions(spark) // ROUND), n_texts // TASK_ROWS)
+    rounds = []
+    for first in range(0, roots, ROUND):
+        last = min(roots, first + ROUND)
+        dealt = stored.mapInArrow(Deal(first, last, each, hot), PACKED).repartitionById((last - first) * each, F.col("part"))
+        rounds.append(cut(dealt.mapInArrow(Tiles(similarity, first, each, exact), "id_a bigint, id_b bigint").distinct()))
+        del dealt
+        release(spark)
+    met = reduce(DataFrame.union, rounds)
     name = F.xxhash64("key")
     copies = items.where("text is not null").select(F.xxhash64("text").alias("id"), name.alias("name")).groupBy("id").agg(F.min("name").alias("x"), F.max("name").alias("y"))
     copies = copies.where("x <> y").select(F.col("id").alias("id_a"), F.col("id").alias("id_b"))
-    candidates = cut(met.union(copies))
-    ids = cut(candidates.select(F.col("id_a").alias("id")).union(candidates.select("id_b")).distinct())
-    members = cut(semi_join_sized(items.where("text is not null").select(F.xxhash64("text").alias("id"), "key", "text"), ids, "id"))
+    candidates = cut(met.union(copies).distinct())
+    members = cut(_among(items.where("text is not null").select(F.xxhash64("text").alias("id"), "key", "text"), candidates))
     spread = max(shuffle_partitions(spark), candidates.count() // TASK_PAIRS)
     held = members.select("id", "text").repartition(spread, "id").dropDuplicates(["id"])
     a, b = held.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), held.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of what is no longer referred to be deleted now, not when the driver happens to collect its garbage."""
+    for _ in range(2):  # what Python lets go of reaches the JVM a little later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def written(spark: SparkSession, path: str) -> bool:
     """Whether a table was written there to its end."""
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rulemill.operators import neardup
@@ -108,3 +110,27 @@ def test_exact_search_equals_brute_force_over_a_grid(spark, monkeypatch):
     rows = made(150, 3, 40)
     df = spark.createDataFrame(rows, "key string, text string")
     assert {(r.key_a, r.key_b) for r in neardup.similar_pairs(df, exact=True).collect()} == brute(rows)
+
+
+def test_common_wording_makes_few_pairs_compared(monkeypatch):
+    """Texts of a few hundred stock phrases: most share some, few are similar; equal texts of several tasks count once."""
+    monkeypatch.setattr(neardup, "DIRECT", 16)
+    random.seed(7)
+    phrases = [" ".join(f"p{i}x{k}" for k in range(6)) for i in range(150)]
+    texts = [" ".join(random.choice(phrases) for _ in range(20)) for _ in range(3000)]
+    for t in texts[:100]:
+        w = t.split()
+        for _ in range(4):
+            w[random.randrange(len(w))] = "edited"
+        texts.append(" ".join(w))
+    compared = []
+    close = neardup.Tiles._close
+    monkeypatch.setattr(neardup.Tiles, "_close", lambda self, i, j, least: compared.append(len(i)) or close(self, i, j, least))
+    block = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array(texts)], names=["id", "text"])
+    stored = [row for _ in range(2) for row in neardup.Sketches(40)([block])]  # as if two tasks had read every text
+    found = set()
+    for i in range(neardup.ROOTS):
+        for row in neardup.Tiles(0.5, i, 1)(neardup.Deal(i, i + 1, 1, {})(stored)):
+            found |= set(zip(row.column(0).to_pylist(), row.column(1).to_pylist()))
+    assert {(i, 3000 + i) for i in range(100)} <= found
+    assert sum(compared) < 0.02 * len(texts) * (len(texts) - 1) / 2, sum(compared)
